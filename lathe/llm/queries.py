@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import packing
+from lathe.llm import packing, simhash
 from lathe.tables import table
 
 
@@ -14,9 +14,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing,)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_simhash": simhash.ORACLE}
