@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import packing, simhash
+from lathe.llm import minhash, packing, simhash
 from lathe.tables import table
 
 
@@ -18,8 +18,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_simhash)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_simhash, op7_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
