@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import minhash, packing, simhash
+from lathe.llm import langid, minhash, packing, simhash
 from lathe.tables import table
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fitted(docs))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -23,7 +28,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_simhash, op7_minhash_dedup)}
+    return {f.__name__: f for f in (op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
