@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import langid, minhash, packing, simhash
+from lathe.llm import langid, minhash, packing, simhash, toxicity
 from lathe.tables import table
 
 
@@ -27,8 +27,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup)}
+    return {f.__name__: f for f in (op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
