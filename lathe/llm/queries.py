@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import langid, minhash, packing, simhash, toxicity
+from lathe.llm import fertility, langid, licenses, minhash, nbest, packing, simhash, toxicity
 from lathe.tables import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fitted(docs))
@@ -33,8 +45,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_tokenizer_fertility, op3_nbest_segmentation, op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_simhash": simhash.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op6_simhash": simhash.ORACLE}
