@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import fertility, langid, licenses, minhash, nbest, packing, simhash, toxicity
+from lathe.llm import crossentropy, fertility, langid, licenses, minhash, nbest, packing, simhash, toxicity
 from lathe.tables import table
 
 
@@ -44,9 +44,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossentropy.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_tokenizer_fertility, op3_nbest_segmentation, op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_tokenizer_fertility, op3_nbest_segmentation, op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity, op9_cross_entropy_difference)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE, "op6_simhash": simhash.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op6_simhash": simhash.ORACLE, "op9_cross_entropy_difference": crossentropy.ORACLE}
