@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import crossentropy, fertility, langid, licenses, minhash, nbest, packing, simhash, toxicity
+from lathe.llm import crossentropy, fertility, langid, licenses, minhash, nbest, ordering, packing, simhash, toxicity
 from lathe.tables import table
 
 
@@ -48,8 +48,12 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossentropy.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_tokenizer_fertility, op3_nbest_segmentation, op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity, op9_cross_entropy_difference)}
+    return {f.__name__: f for f in (op1_license_scan, op2_tokenizer_fertility, op3_nbest_segmentation, op4_language_id, op5_best_fit_packing, op6_simhash, op7_minhash_dedup, op8_toxicity, op9_cross_entropy_difference, op10_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,11 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZERS = "/opt/tokenizers"
 #: The pre-token pattern that goes with the byte-level vocabularies.
@@ -43,3 +48,42 @@ def encode(encoding, text: str) -> list[int]:
             cuts = [len(text) // 2]
         at = min(cuts, key=lambda c: abs(c - len(text) // 2))
         return encode(encoding, text[:at]) + encode(encoding, text[at:])
+
+
+#: A space with white space on both sides: there, and only there, a cut before the space could change the tokens.
+_INNER_SPACE = r"[\s\pZ\x0b\x1c-\x1f\x{85}] [\s\pZ\x0b\x1c-\x1f\x{85}]"
+
+
+def encode_column(encoding, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds per text) of all texts, the same ids as ``encode`` gives.
+
+    Texts are cut before their spaces and every distinct piece is encoded once.
+    """
+    texts = pc.fill_null(texts, "")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    whole = np.flatnonzero(pc.match_substring_regex(texts, _INNER_SPACE).to_numpy(zero_copy_only=False))
+    lists = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _INNER_SPACE), "", texts) if len(whole) else texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    piece = np.asarray(coded.indices, dtype=np.int64)
+    offsets = np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()
+    uniq = coded.dictionary.to_pylist()
+    first = offsets[:-1]  # splitting leaves one piece at least; the first has no space before it
+    heads: dict[str, int] = {}
+    slots = np.array([heads.setdefault(uniq[p], len(uniq) + len(heads)) for p in piece[first].tolist()], dtype=np.int64)
+    slots[whole] = len(uniq) + len(heads) + np.arange(len(whole))
+    piece = piece.copy()
+    piece[first] = slots
+    plain = encoding.encode_ordinary
+    late = np.zeros(len(uniq), dtype=bool)
+    late[piece[piece < len(uniq)]] = True
+    found = [(encode(encoding, " " + u) if len(u) > 2_000 else plain(" " + u)) if used else [] for u, used in zip(uniq, late.tolist())]
+    found += [encode(encoding, h) for h in heads]
+    found += [encode(encoding, texts[i].as_py()) for i in whole.tolist()]
+    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(counts.sum()))
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    n = counts[piece]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = flat[np.arange(ends[-1]) + np.repeat(starts[piece] - ends[:-1], n)]
+    return ids, ends[offsets]
