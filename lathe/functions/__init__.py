@@ -1 +1 @@
-
+"""Expressions over URLs, texts, durations, failures and pictures."""

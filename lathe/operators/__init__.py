@@ -1 +1 @@
-
+"""Relational operators of the crawl engine."""
