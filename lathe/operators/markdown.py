@@ -6,7 +6,7 @@ import re
 
 from lathe.operators.dom import Node
 
-SKIPPED = frozenset("script style noscript template head iframe svg nav-skip".split())
+SKIPPED = frozenset("script style noscript template head iframe svg".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table ul #document".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ESCAPE = re.compile(r"([\\`*_\[\]])")

@@ -21,14 +21,13 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str = "url", sequence: str = "seq") -> DataFrame:
-    """The row of greatest sequence per key.
+    """The row of greatest sequence per key; the greatest row among equals.
 
-    One aggregation that combines on the map side; the rows travel once, as the
-    value of ``max_by``.
+    One aggregation that combines on the map side, so a key's rows travel once.
     """
-    others = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(sequence)).alias("_row"))
-    return best.select(key, *[F.col(f"_row.`{c}`").alias(c) for c in others])
+    others = [c for c in rows.columns if c not in (key, sequence)]
+    best = rows.groupBy(key).agg(F.max(F.struct(sequence, *others)).alias("_row"))
+    return best.select(*[key if c == key else F.col(f"_row.`{c}`").alias(c) for c in rows.columns])
 
 
 def meta(records: DataFrame, site_key: str, domain: str, started: str, ended: str) -> DataFrame:
