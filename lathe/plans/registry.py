@@ -22,9 +22,16 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def load() -> None:
+    """Import the modules that register queries."""
+    from lathe.plans import relational, scalar, trees  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLES)
