@@ -117,13 +117,14 @@ def yaml_scalar(text: pd.Series) -> pd.Series:
 
 
 _PLAIN = re.compile(r"^[A-Za-z0-9_./][^\x00-\x1f\x7f]*$")
-_SPECIAL = re.compile(r"^(null|true|false|yes|no|on|off|y|n|~|[-+.]?[0-9][0-9_.,eExXoO:+-]*|\.inf|\.nan)$", re.I)
+_UNPRINTED = re.compile("[\x00-\x1f\x7f\x85\u2028\u2029\ufeff]")
+_SPECIAL = re.compile(r"^(null|true|false|yes|no|on|off|y|n|~|[-+.]?[0-9][0-9a-fA-F_.,xXoO:+-]*|\.inf|\.nan)$", re.I)
 
 
 def yaml_text(text: str) -> str:
     if _PLAIN.match(text) and not _SPECIAL.match(text) and ": " not in text and " #" not in text and text[-1] not in ": ":
         return text
-    if re.search(r"[\x00-\x1f\x7f\x85  ﻿]", text):
+    if _UNPRINTED.search(text):
         named = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r"}
-        return '"' + "".join(named.get(c) or (f"\\x{ord(c):02x}" if ord(c) < 32 or ord(c) == 127 else f"\\u{ord(c):04x}" if c in "\x85  ﻿" else c) for c in text) + '"'
+        return '"' + "".join(named.get(c) or (f"\\u{ord(c):04x}" if _UNPRINTED.match(c) else c) for c in text) + '"'
     return "'" + text.replace("'", "''") + "'"
