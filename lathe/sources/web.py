@@ -14,12 +14,13 @@ import ssl
 import time
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lathe.functions.addresses import is_blocked
-from lathe.functions.urls import normalize
+from lathe.functions.urls import authority, normalize
 
 REDIRECTS = 10
 FETCHED = "url string, final_url string, status int, content_type string, html string, error string"
@@ -140,3 +141,45 @@ class PageSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PageSource)
+
+
+def category(status: int | None, error: str | None, content_type: str) -> str | None:
+    """Category of a fetch's outcome for a page, by the rules of ``functions.errors``."""
+    if error is None:
+        kind = content_type.lower()
+        refused = kind.startswith(("image/", "audio/", "video/", "font/", "application/zip", "application/gzip", "application/pdf", "application/octet-stream"))
+        return "Content_NonHTML" if refused else None
+    if error.startswith("retries exhausted"):
+        return "RetryFailed_Unknown"
+    if "exceeds" in error:
+        return "Network_BodyRead"
+    if status is not None and 400 <= status < 500:
+        return f"HTTP_{status}" if status in (401, 403, 404, 429) else "HTTP_4xx"
+    return "HTTP_OtherStatus" if status is not None else "Unknown"
+
+
+def fetcher(agent: str = "lathe", delay: float = 0.5, cap: int = 50 << 20, private: bool = False, **policy):
+    """A ``crawl.Fetch`` over the network: a host's pages stay in one partition, so its delay holds without a lock.
+
+    The crawl writes each level once before it uses it, so no page is fetched twice.
+    """
+
+    def run(frames):
+        ready: dict[str, float] = {}
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                host = urlsplit(url).netloc.lower()
+                pause = ready.get(host, 0.0) - time.monotonic()
+                if pause > 0:
+                    time.sleep(pause)
+                ready[host] = time.monotonic() + delay * random.uniform(0.9, 1.1)
+                _, final, status, kind, html, error = fetch(url, agent, cap=cap, private=private, **policy)
+                what = category(status, error, kind or "")
+                rows.append((url, final, html if what is None else None, what))
+            yield pd.DataFrame(rows, columns=["url", "final_url", "html", "error_type"])
+
+    def level(frontier: DataFrame) -> DataFrame:
+        return frontier.select("url").repartition(F.lower(authority(F.col("url")))).mapInPandas(run, "url string, final_url string, html string, error_type string")
+
+    return level
