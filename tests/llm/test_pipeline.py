@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 def shingles(text):
     w = (text or "").lower().split()
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)} - {()}
+    n = minhash.SHINGLE
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)} - {()}
 
 
 def brute(docs, labels):
