@@ -40,6 +40,8 @@ SHINGLE = 2
 M = 10
 B = 3
 THRESHOLD = 0.65
+#: Up to so many removed rows (two longs each) are broadcast; beyond that both sides are shuffled by document.
+MOST_BROADCAST = 500_000
 
 
 def hash_parameters(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +181,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return lists.filter(F.size("doc_ids") > 1).select(F.element_at("doc_ids", 1).alias("group_id"), "doc_ids", F.size("doc_ids").cast("long").alias("size"))
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, most: int = MOST_BROADCAST) -> DataFrame:
     """The rows of ``docs`` without all but one document of each group.
 
     Rows outside any group stay, among them those with null doc_id or blank
@@ -189,7 +191,8 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = Window.partitionBy("part").orderBy("doc_id", "text_key")
     gone = materialise(members.withColumn("_n", F.row_number().over(first)).filter("_n > 1").select(F.col("doc_id").alias("_lathe_doc"), F.col("text_key").alias("_lathe_text")), "duplicates")
     named = docs.withColumns({"_lathe_doc": F.col("doc_id").cast("long"), "_lathe_text": F.xxhash64(F.col("text").cast("string"))})
-    kept = named.join(gone, ["_lathe_doc", "_lathe_text"], "left_anti")
+    # the texts stay where they are while the list of removed rows is small
+    kept = named.join(F.broadcast(gone) if gone.count() <= most else gone, ["_lathe_doc", "_lathe_text"], "left_anti")
     if not texts.filter("rows > 1").isEmpty():
         blank = F.col("text").isNull() | ~not_blank() | F.col("doc_id").isNull()
         kept = kept.filter(blank).unionByName(kept.filter(~blank).dropDuplicates(["_lathe_doc", "_lathe_text"]))

@@ -101,6 +101,8 @@ def test_edges(spark):
     kept = minhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 7), (False, 8), (True, 0)]
+    ids = lambda df: sorted(map(str, (r["doc_id"] for r in df.collect())))
+    assert ids(minhash.deduplicate(docs, most=0)) == ids(kept)
     assert minhash.groups(docs.limit(0)).count() == 0 and minhash.deduplicate(docs.limit(0)).count() == 0
 
 
