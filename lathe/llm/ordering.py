@@ -48,7 +48,7 @@ KEY = 0x5EED
 ROUNDS = 6
 #: Shards per partition of the last shuffle (8 MB each).
 SHARDS_TOGETHER = 8
-SLICE = 16_000_000
+SLICE = 4_000_000
 SPANS = "array<struct<doc_id: long, at: int, first: long>>"
 _SPAN = pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("first", pa.int64())])
 
