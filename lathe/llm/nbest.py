@@ -46,10 +46,10 @@ from lathe.llm import textops, tokens
 MODEL = f"{tokens.TOKENIZERS}/piece_bpe_32k.model"
 N = 4
 SPACE = "▁"
-SLICE = 8_000_000
+SLICE = 4_000_000
 NONE = -1e18
 #: Positions of distinct words whose lattices are held side by side; bounds memory only.
-POSITIONS = 400_000
+POSITIONS = 200_000
 
 
 class Pieces:
