@@ -5,7 +5,7 @@ Two collections of ``M`` bands with ``B`` minhashes each are computed; table
 (i, j) is keyed by band i of the first and band j of the second collection, so
 2*M*B minhashes feed M*M tables that plain banding would need 2*B*M*M for.  A
 pair of similarity s meets in some table with probability (1 - (1 - s^B)^M)^2:
-0.92 at 0.65, 0.97 at 0.7, 0.99 at 0.75 for the defaults.  Pairs of words are
+0.89 at 0.65, 0.96 at 0.7, 0.99 at 0.75 for the defaults.  Pairs of words are
 told apart well enough in running text (unrelated texts stay below 0.3), and a
 text of which a tenth of the words were replaced still reaches the threshold.
 
@@ -37,7 +37,7 @@ from lathe.llm import graph, textops
 from lathe.storage import discard, materialise
 
 SHINGLE = 2
-M = 10
+M = 9
 B = 3
 THRESHOLD = 0.65
 #: Up to so many removed rows (two longs each) are broadcast; beyond that both sides are shuffled by document.
