@@ -79,7 +79,7 @@ def test_edges(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     schema = "doc_id long, text string, lang string, source string, n_chars long, keep int, id string"
-    rows = [(1, None, None, None, None, 0, "a"), (2, "", "en", "s", 0, 0, "a"), (3, "some words are here", "en", "s", 1, 0, "a"), (3, "some words are here", "en", "s", 1, 0, "a"), (None, "other words", "en", "s", 1, 0, "b"), (4, "w " * 40_000, "en", "s", 1, 0, "b")]
+    rows = [(1, None, None, None, None, 0, "a"), (2, "", "en", "s", 0, 0, "a"), (3, "some words are here", "en", "s", 1, 0, "a"), (3, "some words are here", "en", "s", 1, 0, "a"), (None, "words here are some", "en", "s", 1, 0, "b"), (4, "here words some are " * 10_000, "xx", "s", 1, 0, "b")]
     for name, part in (("all", rows), ("none", [])):
         (tmp_path / name).mkdir()
         spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
