@@ -80,6 +80,20 @@ def test_recall_of_tables_at_the_threshold():
     assert hit / 300 > 0.92  # similarity 0.7: 0.96 expected
 
 
+def test_recall_of_tables_at_the_declared_threshold():
+    """At the threshold itself at least 0.9 of the pairs meet in some table."""
+    t = minhash.THRESHOLD
+    assert (1 - (1 - t**minhash.B) ** minhash.M) ** 2 >= 0.9
+    rng = np.random.default_rng(6)
+    hit = 0
+    for _ in range(2_000):  # similarity 130 / 200 = 0.65: 0.92 expected
+        common, own = rng.integers(0, 2**63, 130).astype(np.uint64), rng.integers(0, 2**63, (2, 35)).astype(np.uint64)
+        flat = np.concatenate([common, own[0], common, own[1]])
+        keys = minhash.table_keys(minhash.minhashes(flat, np.array([0, 165, 330]), 2 * minhash.M * minhash.B))
+        hit += bool((keys[0] == keys[1]).any())
+    assert hit / 2_000 >= 0.9
+
+
 def test_large_group_and_outsiders(spark):
     """A bucket much larger than its round-1 edges still connects everything."""
     base = [f"t{i}" for i in range(200)]
