@@ -13,8 +13,11 @@ The bands judge only texts of at least ``LEAST_TOKENS`` tokens and groups of at
 least ``LEAST_DOCUMENTS`` such texts; shorter texts are all noise in these
 measures and are judged by byte fallback alone, against ``MOST_FALLBACK``.
 Entropy depends on length, so it is banded as its distance from the entropy
-that as many distinct tokens could have: ``entropy / log2(distinct)``
-(evenness), which long and short texts share.
+that texts of its length have in its group: a line fitted over all documents in
+``1 / sqrt(n_pieces)``, in which the entropy of running text rises to its limit
+almost straight, never above ``log2(n_pieces)``.  Few words repeated over a long
+text lie bits below that line.  Evenness, ``entropy / log2(distinct)``, is high
+for such texts and is reported but not banded.
 
 Defined results: a null or empty text has no tokens, null measures and is
 rejected with rule 'empty'; equal rows get equal results; a null doc_id is
@@ -38,9 +41,9 @@ LEAST_TOKENS = 64
 LEAST_DOCUMENTS = 50
 SPREAD = 4.0
 MOST_FALLBACK = 0.5
-BANDED = ("chars_per_token", "chars_per_piece", "fallback_share", "evenness")
+BANDED = ("chars_per_token", "chars_per_piece", "fallback_share", "entropy")
 #: Narrower bands are widened to this, so that a uniform group rejects nothing for a trifle.
-LEAST_WIDTH = {"chars_per_token": 0.5, "chars_per_piece": 0.5, "fallback_share": 0.05, "evenness": 0.05}
+LEAST_WIDTH = {"chars_per_token": 0.5, "chars_per_piece": 0.5, "fallback_share": 0.05, "entropy": 1.0}
 
 
 def entropy(ids: np.ndarray) -> tuple[float, int]:
@@ -101,16 +104,32 @@ def measure(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
     return kept.mapInArrow(textops.map_slices(run), SCHEMA)
 
 
+def banded(m: str) -> Column:
+    """What is banded of a measure: itself, for entropy its distance from the fitted line (``_level``, ``_slope``)."""
+    if m != "entropy":
+        return F.col(m)
+    line = F.col("_level") + F.col("_slope") / F.sqrt("n_pieces")
+    return F.col(m) - F.least(F.greatest(line, F.lit(0.0)), F.log2("n_pieces"))
+
+
+def lines(measured: DataFrame) -> DataFrame:
+    """grp and the line of entropy over ``1 / sqrt(n_pieces)``, which does not fall with length."""
+    x = 1 / F.sqrt("n_pieces")
+    fitted = measured.filter(F.col("n_tokens") >= LEAST_TOKENS).groupBy("grp").agg(F.avg(x).alias("_x"), F.avg("entropy").alias("_y"), F.regr_slope("entropy", x).alias("_fit"))
+    slope = F.when(F.col("_fit") < 0, F.col("_fit")).otherwise(0.0)
+    return fitted.select("grp", (F.col("_y") - slope * F.col("_x")).alias("_level"), slope.alias("_slope"))
+
+
 def bands(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """grp and, of each banded measure, its lower and upper bound."""
-    judged = measured.filter(F.col("n_tokens") >= LEAST_TOKENS)
-    quartiles = judged.groupBy("grp").agg(F.count("*").alias("_n"), *[F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in BANDED])
+    """grp, its line of entropy and, of each banded measure, its lower and upper bound."""
+    judged = measured.filter(F.col("n_tokens") >= LEAST_TOKENS).join(F.broadcast(lines(measured)), "grp")
+    quartiles = judged.groupBy("grp", "_level", "_slope").agg(F.count("*").alias("_n"), *[F.percentile_approx(banded(m), [0.25, 0.75], 10_000).alias(m) for m in BANDED])
     bounds = []
     for m in BANDED:
         low, high = F.col(m)[0], F.col(m)[1]
         reach = F.greatest((high - low) * spread, F.lit(LEAST_WIDTH[m]))
         bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
-    return quartiles.filter(F.col("_n") >= LEAST_DOCUMENTS).select("grp", *bounds)
+    return quartiles.filter(F.col("_n") >= LEAST_DOCUMENTS).select("grp", "_level", "_slope", *bounds)
 
 
 def judge(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, spread: float = SPREAD) -> DataFrame:
@@ -125,7 +144,7 @@ def judge(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, s
     def rule(name: str, when: Column) -> Column:
         return F.when(F.coalesce(when, F.lit(False)), F.lit(name))
 
-    rules = [rule(m, long_enough & ((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")))) for m in BANDED]
+    rules = [rule(m, long_enough & ((banded(m) < F.col(f"{m}_low")) | (banded(m) > F.col(f"{m}_high")))) for m in BANDED]
     broken = F.array_compact(F.array(rule("empty", F.col("n_tokens") == 0), rule("fallback", F.col("fallback_share") > MOST_FALLBACK), *rules))
     return joined.withColumn("broken", F.array_sort(broken)).select(
         "doc_id", "grp", "n_chars", "n_tokens", "n_pieces", "chars_per_token", "chars_per_piece", "fallback_share", "entropy", "evenness", "broken", (F.size("broken") == 0).alias("keep")

@@ -53,3 +53,13 @@ def test_bands_and_edges(spark):
     assert same(got[104][0]) == same(got[0][0]) and got[105][0]["keep"]
     assert fertility.judge(docs.limit(0)).count() == 0
     assert fertility.judge(docs.drop("lang")).count() == len(rows)
+
+
+def test_repeated_words_break_the_entropy_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    said = {r["doc_id"]: r["text"].split() for r in docs.collect() if r["text"]}
+    repeated = {d for d, w in said.items() if len(w) >= 60 and len(set(w)) < 0.2 * len(w)}
+    varied = {d for d, w in said.items() if len(w) >= 60 and len(set(w)) > 0.4 * len(w)}
+    broken = {r["doc_id"]: r["broken"] for r in fertility.judge(docs).collect()}
+    assert len(repeated) > 20 and all("entropy" in broken[d] for d in repeated)
+    assert len(varied) > 100 and sum("entropy" in broken[d] for d in varied) < 0.01 * len(varied)
