@@ -9,9 +9,12 @@ documents: lower and upper quartile widened by ``SPREAD`` times their
 distance.  A document outside a band is rejected, with the names of the rules
 it broke.
 
-The bands judge only texts of at least ``LEAST_TOKENS`` tokens and groups of at
-least ``LEAST_DOCUMENTS`` such texts; shorter texts are all noise in these
-measures and are judged by byte fallback alone, against ``MOST_FALLBACK``.
+The bands are drawn from texts of at least ``LEAST_TOKENS`` tokens, in groups of
+at least ``LEAST_DOCUMENTS`` such texts.  Measures of a shorter text are noisier
+by the root of its tokens, so it is judged by a band whose reach beyond the
+quartiles is ``sqrt(LEAST_TOKENS / n_tokens)`` times as wide.  Texts of smaller
+groups have no band and are judged by byte fallback alone, against
+``MOST_FALLBACK``.
 Entropy depends on length, so it is banded as its distance from the entropy
 that texts of its length have in its group: a line fitted over all documents in
 ``1 / sqrt(n_pieces)``, in which the entropy of running text rises to its limit
@@ -108,8 +111,9 @@ def banded(m: str) -> Column:
     """What is banded of a measure: itself, for entropy its distance from the fitted line (``_level``, ``_slope``)."""
     if m != "entropy":
         return F.col(m)
-    line = F.col("_level") + F.col("_slope") / F.sqrt("n_pieces")
-    return F.col(m) - F.least(F.greatest(line, F.lit(0.0)), F.log2("n_pieces"))
+    pieces = F.greatest(F.col("n_pieces"), F.lit(1))
+    line = F.col("_level") + F.col("_slope") / F.sqrt(pieces)
+    return F.col(m) - F.least(F.greatest(line, F.lit(0.0)), F.log2(pieces))
 
 
 def lines(measured: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def bands(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
     for m in BANDED:
         low, high = F.col(m)[0], F.col(m)[1]
         reach = F.greatest((high - low) * spread, F.lit(LEAST_WIDTH[m]))
-        bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
+        bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high"), reach.alias(f"{m}_reach")]
     return quartiles.filter(F.col("_n") >= LEAST_DOCUMENTS).select("grp", "_level", "_slope", *bounds)
 
 
@@ -139,12 +143,17 @@ def judge(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, s
     limits = bands(measured, spread)
     # one row per language or script
     joined = measured.join(limits, "grp", "left")
-    long_enough = F.col("n_tokens") >= LEAST_TOKENS
+    # how much further than that of a long text the band of a short one reaches
+    wider = F.greatest(F.sqrt(F.lit(LEAST_TOKENS) / F.greatest(F.col("n_tokens"), F.lit(1))), F.lit(1.0)) - 1
 
     def rule(name: str, when: Column) -> Column:
         return F.when(F.coalesce(when, F.lit(False)), F.lit(name))
 
-    rules = [rule(m, long_enough & ((banded(m) < F.col(f"{m}_low")) | (banded(m) > F.col(f"{m}_high")))) for m in BANDED]
+    def outside(m: str) -> Column:
+        more = F.col(f"{m}_reach") * wider
+        return (banded(m) < F.col(f"{m}_low") - more) | (banded(m) > F.col(f"{m}_high") + more)
+
+    rules = [rule(m, outside(m)) for m in BANDED]
     broken = F.array_compact(F.array(rule("empty", F.col("n_tokens") == 0), rule("fallback", F.col("fallback_share") > MOST_FALLBACK), *rules))
     return joined.withColumn("broken", F.array_sort(broken)).select(
         "doc_id", "grp", "n_chars", "n_tokens", "n_pieces", "chars_per_token", "chars_per_piece", "fallback_share", "entropy", "evenness", "broken", (F.size("broken") == 0).alias("keep")

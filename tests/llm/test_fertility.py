@@ -63,3 +63,15 @@ def test_repeated_words_break_the_entropy_rule(spark):
     broken = {r["doc_id"]: r["broken"] for r in fertility.judge(docs).collect()}
     assert len(repeated) > 20 and all("entropy" in broken[d] for d in repeated)
     assert len(varied) > 100 and sum("entropy" in broken[d] for d in varied) < 0.01 * len(varied)
+
+
+def test_short_texts_are_judged_by_wider_bands(spark):
+    rng = random.Random(8)
+    words = "the quick brown fox jumps over lazy dog and river stone green light".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(150)), "en") for i in range(60)]
+    rows += [(100 + n, " ".join(rng.choice(words) for _ in range(n)), "en") for n in range(1, 60)]
+    rows += [(200, "= " * 25 + "+ " * 25, "en"), (201, "word " * 50, "en")]
+    got = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["keep"] for i in got if i < 200)
+    assert all(got[i]["n_tokens"] < fertility.LEAST_TOKENS for i in (200, 201))
+    assert "chars_per_token" in got[200]["broken"] and "entropy" in got[201]["broken"]
