@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -31,10 +32,20 @@ def map_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             yield f(batch)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: workers are used again and would keep the peak of every task before."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """White-space separated words: (word index per occurrence, offsets per text, distinct words).
 
