@@ -1,22 +1,31 @@
 """Operator 6, SimHash document fingerprints and search by permuted block tables.
 
-Terms are runs of two lower-cased words, weighted by how often they occur; a
-term's 64-bit hash votes +weight or -weight on each bit, and a bit is set when
-its votes are above zero.  Fingerprints are 64-bit two's complement longs.
-
-Search: the 64 bits are cut into ``BLOCKS`` blocks.  Two fingerprints within
-``radius`` bits agree on at least ``BLOCKS - radius`` blocks, so one table per
-choice of that many blocks, keyed by their bits (the permutation that brings
-them to the front), meets every such pair; a pair is reported by the first
-table that holds it, which makes the search exact and free of a final
-distinct.  Equal fingerprints are grouped before the search, so copies cost
-one row each and not one row per pair.
+Terms are lower-cased words; a word that occurs c times weighs the number of
+binary digits of c, so that frequent words do not decide alone.  A term's
+64-bit hash votes +weight or -weight on each bit, and a bit is set when its
+votes are above zero.  Fingerprints are 64-bit two's complement longs.
+
+Terms and radius are chosen by the distances of near copies (texts that share
+0.65 or more of their word pairs): with these terms 0.7 of them differ in at
+most ``RADIUS`` = 6 bits; with word pairs as terms the median is 10 bits and a
+radius of 3 finds little but equal texts.
+
+Search: the 64 bits are cut into blocks.  Two fingerprints within ``radius``
+bits agree on at least ``blocks - radius`` blocks, so one table per choice of
+that many blocks, keyed by their bits (the permutation that brings them to the
+front), meets every such pair; a pair is reported by the first table that holds
+it, which makes the search exact and free of a final distinct.  The number of
+blocks follows the number of fingerprints (``blocks_for``), so that the keys
+have enough bits to part unlike fingerprints; it changes no result.
+
+Equal fingerprints are one class, which the search sees once however many
+documents it has: the result is pairs between classes, each named by its least
+doc_id, plus the members of every class.
 
 Defined results: a null or empty text has no fingerprint (null) and takes no
-part in the search; a text of one word has that word as its only term; rows
-with equal doc_id count as one document if their fingerprints agree and as two
-if not; null doc_ids are left out of the lists; empty tables give empty
-results; other columns are ignored.
+part in the search; rows with equal doc_id count as one document if their
+fingerprints agree and as two if not; null doc_ids are left out; empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +34,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.llm import textops
 from lathe.storage import materialise
 
-SHINGLE = 2
-BLOCKS = 6
-RADIUS = 3
+RADIUS = 6
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -58,99 +65,112 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints as int64, whether the text has any term)."""
     ids, offsets, uniq = textops.words(texts)
+    n = len(offsets) - 1
     if not len(ids):
-        n = len(offsets) - 1
         return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    hashes, starts = textops.shingle_hashes(ids, offsets, textops.word_hashes(uniq), shingle)
-    n = np.diff(starts)
-    votes = 2 * bit_counts(hashes, starts) - n[:, None]
+    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    terms, counts = np.unique(owner * len(uniq) + ids, return_counts=True)
+    weights = np.frexp(counts.astype(np.float64))[1].astype(np.int64)  # binary digits
+    hashes = textops.mix(textops.word_hashes(uniq))[terms % len(uniq)]
+    total = np.bincount(terms // len(uniq), weights=weights, minlength=n).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(total)])
+    votes = 2 * bit_counts(np.repeat(hashes, weights), starts) - total[:, None]
     packed = np.packbits(votes > 0, axis=1, bitorder="little")
-    return packed.view("<u8").reshape(-1).astype(np.uint64).view(np.int64), n > 0
+    return packed.view("<u8").reshape(-1).astype(np.uint64).view(np.int64), total > 0
 
 
-def fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, some = fingerprints_of(batch.column("text"), shingle)
+        values, some = fingerprints_of(batch.column("text"))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64(), mask=~some)], ["doc_id", "fp"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(textops.map_slices(run), "doc_id long, fp long")
 
 
-def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
-    """One mask per table, as signed longs."""
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def block_masks(blocks: int) -> list[int]:
+    """The bits of each block, the lowest first."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    masks = [sum(parts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+
 
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """The least number of blocks whose keys have about as many bits as ``n`` fingerprints need: tables are as few as
+    keep the chance meetings of a table at a few for each fingerprint."""
+    blocks = radius + 1
+    while blocks < 64 and (blocks - radius) * 64 // blocks < n.bit_length() - 1:
+        blocks += 1
+    return blocks
 
-def neighbours(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+
+def neighbours(fps: DataFrame, radius: int = RADIUS, blocks: int = 9) -> DataFrame:
     """All pairs fp_a < fp_b of a table of *distinct* fingerprints (fp) within ``radius`` bits, with ``distance``."""
     if not 0 <= radius < blocks:
         raise ValueError("radius must be below the number of blocks")
-    masks = block_masks(blocks, radius)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("_t", "_key"))
-    a = keyed.select(F.col("fp").alias("fp_a"), "_t", "_key")
-    b = keyed.select(F.col("fp").alias("fp_b"), "_t", "_key")
+    parts = block_masks(blocks)
+    chosen = list(combinations(range(blocks), blocks - radius))
+    masks = F.array(*[F.lit(signed(sum(parts[i] for i in c))) for c in chosen])
+    # rows are (fingerprint, table): the key is computed on either side of the shuffle and not sent
+    keyed = fps.select("fp", F.explode(F.array(*[F.lit(t).cast("short") for t in range(len(chosen))])).alias("_t"))
+    a, b = (keyed.select(F.col("fp").alias(f"fp_{n}"), F.col("_t").alias(f"_t{n}")) for n in "ab")
+    key = lambda n: F.col(f"fp_{n}").bitwiseAND(masks[F.col(f"_t{n}").cast("int")])
     differs = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    first: Column = F.lit(len(masks))
-    for t in reversed(range(len(masks))):
-        first = F.when(differs.bitwiseAND(F.lit(masks[t])) == 0, F.lit(t)).otherwise(first)
+    # the first table of a pair is that of its lowest agreeing blocks: no agreeing block lies among and outside them
+    agree = sum((F.when(differs.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, m in enumerate(parts)), F.lit(0).cast("long"))
+    below = F.array(*[F.lit((2 << c[-1]) - 1).cast("long") for c in chosen])[F.col("_ta").cast("int")]
+    own = F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in chosen])[F.col("_ta").cast("int")]
     return (
-        a.join(b, ["_t", "_key"])
-        .filter(F.col("fp_a") < F.col("fp_b"))
-        .withColumn("distance", F.bit_count(differs))
-        .filter((F.col("distance") <= radius) & (first == F.col("_t")))
-        .select("fp_a", "fp_b", "distance")
+        a.join(b, (F.col("_ta") == F.col("_tb")) & (key("a") == key("b")) & (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(differs) <= radius))
+        .filter(agree.bitwiseAND(below) == own)
+        .select("fp_a", "fp_b", F.bit_count(differs).alias("distance"))
     )
 
 
 def near_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Documents with equal or near fingerprints.
 
-    Result: fp_a, fp_b, distance, docs_a, docs_b.  A row with fp_a = fp_b
-    (distance 0, docs_b null) lists two or more documents of one fingerprint;
-    the other rows are the pairs of distinct fingerprints within ``radius``
-    with the documents of either side.  Lists are sorted.
+    Result: fp_a, fp_b, distance, doc_a, doc_b.  A class of documents with one
+    fingerprint has a row for every document but its least, with fp_a = fp_b,
+    distance 0, the least doc_id as doc_a and the other as doc_b; two classes
+    within ``radius`` have one row, fp_a < fp_b, with their least doc_ids.
     """
-    grouped = materialise(
-        fingerprint(docs).filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.array_sort(F.collect_set("doc_id")).alias("docs")), "fingerprints"
-    )
-    same = grouped.filter(F.size("docs") > 1).select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"), F.lit(0).alias("distance"), F.col("docs").alias("docs_a"), F.lit(None).cast("array<long>").alias("docs_b"))
-    pairs = neighbours(grouped.select("fp"), radius)
+    prints = materialise(fingerprint(docs).filter("fp IS NOT NULL AND doc_id IS NOT NULL").distinct(), "fingerprints")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    members = prints.join(classes.filter("n > 1").select("fp", "least"), "fp").filter("doc_id <> least")
+    same = members.select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"), F.lit(0).alias("distance"), F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    pairs = neighbours(classes.select("fp"), radius, blocks_for(classes.count(), radius))
     near = (
-        pairs.join(grouped.select(F.col("fp").alias("fp_a"), F.col("docs").alias("docs_a")), "fp_a")
-        .join(grouped.select(F.col("fp").alias("fp_b"), F.col("docs").alias("docs_b")), "fp_b")
-        .select("fp_a", "fp_b", "distance", "docs_a", "docs_b")
+        pairs.join(classes.select(F.col("fp").alias("fp_a"), F.col("least").alias("doc_a")), "fp_a")
+        .join(classes.select(F.col("fp").alias("fp_b"), F.col("least").alias("doc_b")), "fp_b")
+        .select("fp_a", "fp_b", "distance", "doc_a", "doc_b")
     )
     return same.unionByName(near)
 
 
 #: The same result in SQL: word hashes from MD5, all pairs compared.
-ORACLE = """
+ORACLE = f"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-terms AS (
-  SELECT doc_id, w[i] AS a, CASE WHEN len(w) > 1 THEN w[i + 1] END AS b
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)),
-summed AS (
-  SELECT doc_id, (((('0x' || left(md5(a), 16))::UBIGINT::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT
-    + CASE WHEN b IS NULL THEN 0::UHUGEINT ELSE (('0x' || left(md5(b), 16))::UBIGINT::UHUGEINT * 14029467366897019727::UHUGEINT) % 18446744073709551616::UHUGEINT END)
-    % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM terms),
-mixed1 AS (SELECT doc_id, ((xor(h, h >> 32))::UHUGEINT * 18397679294719823053::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM summed),
-mixed AS (SELECT doc_id, xor(h, h >> 29) AS h FROM mixed1),
+  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+terms AS (SELECT doc_id, r, w, length(bin(count(*))) AS weight FROM (SELECT doc_id, r, unnest(w) AS w FROM words) GROUP BY ALL),
+hashed AS (SELECT doc_id, r, weight, ('0x' || left(md5(w), 16))::UBIGINT AS h FROM terms),
+mixed1 AS (SELECT doc_id, r, weight, ((xor(h, h >> 32))::UHUGEINT * {textops.MIX}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM hashed),
+mixed AS (SELECT doc_id, r, weight, xor(h, h >> 29) AS h FROM mixed1),
 votes AS (
-  SELECT doc_id, i, 2 * sum(((h >> i) & 1::UBIGINT)::BIGINT) - count(*) AS v FROM mixed, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY ALL),
+  SELECT doc_id, r, i, sum(weight * (2 * ((h >> i) & 1::UBIGINT)::BIGINT - 1)) AS v FROM mixed, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY ALL),
 prints AS (
-  SELECT doc_id, sum(CASE WHEN v > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::UBIGINT << i)::HUGEINT END ELSE 0 END)::BIGINT AS fp FROM votes GROUP BY doc_id),
-grouped AS (SELECT fp, list_sort(list(DISTINCT doc_id)) AS docs FROM prints GROUP BY fp)
-SELECT fp AS fp_a, fp AS fp_b, 0::INTEGER AS distance, docs AS docs_a, NULL::BIGINT[] AS docs_b FROM grouped WHERE len(docs) > 1
+  SELECT DISTINCT doc_id, fp FROM (
+    SELECT doc_id, r, sum(CASE WHEN v > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::UBIGINT << i)::HUGEINT END ELSE 0 END)::BIGINT AS fp FROM votes GROUP BY doc_id, r)),
+classes AS (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp)
+SELECT fp AS fp_a, fp AS fp_b, 0::INTEGER AS distance, least AS doc_a, doc_id AS doc_b FROM prints JOIN classes USING (fp) WHERE doc_id <> least
 UNION ALL
-SELECT a.fp, b.fp, bit_count(xor(a.fp, b.fp))::INTEGER, a.docs, b.docs FROM grouped a JOIN grouped b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 3
+SELECT a.fp, b.fp, bit_count(xor(a.fp, b.fp))::INTEGER, a.least, b.least FROM classes a JOIN classes b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= {RADIUS}
 """
