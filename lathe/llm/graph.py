@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.storage import materialise
+from lathe.storage import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = materialise(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "edges")
         # a star forest: every b has one a, and no a is a b
         loose = new.groupBy("b").count().filter("count > 1").select("b").union(new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").select("a")).limit(1).count()
+        discard(now)
         now = new
         if not loose:
             break

@@ -1,23 +1,30 @@
 """Operator 7, MinHash near-duplicate groups with tensored banding.
 
-A text is the set of its two-word shingles (lower case, white-space words).
-Two collections of ``M`` bands with ``B`` minhashes each are computed; table
-(i, j) is keyed by band i of the first and band j of the second collection, so
-2*M*B minhashes feed M*M tables that plain banding would need 2*B*M*M for.  A
-pair of similarity s meets in some table with probability (1 - (1 - s^B)^M)^2:
-0.92 at 0.65, 0.97 at 0.7, 0.99 at 0.75 for the defaults.  Pairs of words are
-told apart well enough in running text (unrelated texts stay below 0.3), and a
-text of which a tenth of the words were replaced still reaches the threshold.
+A text is the set of its two-word shingles (lower case, white-space words; of
+scripts without spaces every letter is a word).  Two collections of ``M`` bands
+with ``B`` minhashes each are computed; table (i, j) is keyed by band i of the
+first and band j of the second collection, so 2*M*B minhashes feed M*M tables
+that plain banding would need 2*B*M*M for.  A pair of similarity s meets in
+some table with probability (1 - (1 - s^B)^M)^2: 0.92 at 0.65, 0.97 at 0.7,
+0.99 at 0.75 for the defaults.  Pairs of words are told apart well enough in
+running text (unrelated texts stay below 0.3), and a text of which a tenth of
+the words were replaced still reaches the threshold.
 
 All candidates are verified by the exact Jaccard similarity of their shingle
 sets, and groups are the connected components of verified pairs:
 
-* texts that are equal word for word are one node, found by hash of the text;
-* round 1 verifies, in every table bucket, each member against the bucket's
-  least member, which needs one pair per member however large the bucket;
-* round 2 verifies every remaining pair of a bucket whose members are not
-  connected yet.  A pair left out is connected already, so the groups are
-  those of verifying all candidate pairs; nothing is capped.
+* texts that are equal word for word are one node, named by the 64-bit hash of
+  the text (two of ten billion different texts share one with a chance of 0.9);
+* within a slice of texts, which one task holds, only the least member of a
+  bucket is sent on for the others, so a bucket that holds a third of all rows
+  arrives as one row per slice;
+* round 1 verifies each member of a bucket against the least one of its slice
+  and that one against the least of all: one pair per member however large the
+  bucket;
+* round 2 verifies the pairs of a bucket whose members are not connected yet;
+  pairs within the bucket's largest part are not even formed.  A pair left out
+  is connected already, so the groups are those of verifying all candidate
+  pairs; nothing is capped.
 
 Defined results: a null or blank text and a null doc_id are in no group; texts
 below two words are one shingle; equal doc_ids with the same text are one
@@ -33,15 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.llm import graph, textops
+from lathe.llm import bloom, graph, textops
 from lathe.storage import discard, materialise
 
 SHINGLE = 2
 M = 10
 B = 3
 THRESHOLD = 0.65
-#: Up to so many removed rows (two longs each) are broadcast; beyond that both sides are shuffled by document.
-MOST_BROADCAST = 500_000
 
 
 def hash_parameters(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -71,16 +76,38 @@ def table_keys(mins: np.ndarray, m: int = M, b: int = B) -> np.ndarray:
         return textops.mix(left + right + table).reshape(len(mins), m * m)
 
 
+FEATURES = "id long, keys array<long>, local array<struct<key: long, head: long>>, shingles binary"
+
+
 def features(texts: DataFrame, m: int = M, b: int = B, shingle: int = SHINGLE) -> DataFrame:
-    """(id, doc_id, keys, shingles): table keys, and the sorted distinct 32-bit shingle hashes as bytes."""
+    """What is known of every text (id, text), once for each slice that has it.
+
+    ``shingles`` are the sorted distinct 32-bit shingle hashes as bytes; ``keys``
+    the table keys of which this text has the least id in its slice, ``local``
+    its other keys with that least id.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offsets, uniq = textops.words(batch.column("text"))
+        once = np.unique(batch.column("id").to_numpy(), return_index=True)[1]
+        if len(once) < batch.num_rows:
+            batch = batch.take(pa.array(np.sort(once)))
+        ids, offsets, uniq = textops.units(*textops.words(batch.column("text")))
         keep = np.diff(offsets) > 0
         hashes, starts = textops.shingle_hashes(ids, offsets, textops.word_hashes(uniq), shingle) if len(ids) else (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
         starts = np.concatenate([starts[:-1][keep], starts[-1:]])
         n = int(keep.sum())
-        keys = table_keys(minhashes(hashes, starts, 2 * m * b), m, b) if n else np.zeros((0, m * m), np.uint64)
+        names = batch.column("id").to_numpy()[keep]
+        keys = table_keys(minhashes(hashes, starts, 2 * m * b), m, b).reshape(-1) if n else np.zeros(0, np.uint64)
+        owner = np.repeat(names, m * m)
+        order = np.lexsort((owner, keys))
+        first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])[: len(order)]
+        head, sent = np.empty_like(owner), np.empty(len(owner), bool)
+        head[order] = owner[order][np.flatnonzero(first)][np.cumsum(first) - 1] if n else owner
+        sent[order] = first
+        signed = keys.view(np.int64)
+        bounds = lambda chosen: np.concatenate([[0], np.cumsum(chosen.reshape(n, m * m).sum(axis=1))]).astype(np.int32)
+        fields = [pa.field("key", pa.int64()), pa.field("head", pa.int64())]
+        local = pa.ListArray.from_arrays(pa.array(bounds(~sent)), pa.StructArray.from_arrays([pa.array(signed[~sent]), pa.array(head[~sent])], fields=fields))
         # sort within runs: the run number in the upper half
         if len(hashes):
             order = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(starts)) << np.uint64(32)) | (hashes >> np.uint64(32)))
@@ -90,11 +117,9 @@ def features(texts: DataFrame, m: int = M, b: int = B, shingle: int = SHINGLE) -
         else:
             cut, raw = np.zeros(1, np.int64), b""
         binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(raw)])
-        lists = textops.ragged(keys.view(np.int64).reshape(-1), np.arange(n + 1) * m * m, pa.int64())
-        names = [batch.column(c).filter(pa.array(keep)) for c in ("id", "doc_id")]
-        return pa.RecordBatch.from_arrays([*names, lists, binary], ["id", "doc_id", "keys", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(names), textops.ragged(signed[sent], bounds(sent), pa.int64()), local, binary], ["id", "keys", "local", "shingles"])
 
-    return texts.select("id", "doc_id", "text").mapInArrow(textops.map_slices(run), "id long, doc_id long, keys array<long>, shingles binary")
+    return texts.select("id", "text").mapInArrow(textops.map_slices(run), FEATURES)
 
 
 def jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -124,33 +149,32 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter((x >= y * threshold) & (y >= x * threshold)).select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def similar_parts(texts: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, m: int = M, b: int = B, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component) of the texts that are similar to another text.
-
-    ``texts`` has (id, doc_id, text) with one id per text; ``heads`` names one
-    doc_id per id, whose row stands for all copies of that text.
-    """
+def similar_parts(texts: DataFrame, threshold: float = THRESHOLD, m: int = M, b: int = B, shingle: int = SHINGLE) -> DataFrame:
+    """(node, component) of the texts (id, text) that are similar to another text; rows of one id have one text."""
     known = materialise(features(texts, m, b, shingle), "shingles")
-    one = known.join(heads.select("id", "doc_id"), ["id", "doc_id"], "left_semi")
     per_key = Window.partitionBy("key")
-    keyed = one.select("id", F.explode("keys").alias("key"))
-    met = keyed.withColumn("head", F.min("id").over(per_key)).withColumn("_last", F.max("id").over(per_key)).filter("head <> _last")
-    members = materialise(met.select("key", "id", "head"), "buckets")
-    wanted = members.select("id").distinct()
-    sets = materialise(one.join(wanted, "id", "left_semi").select("id", "shingles"), "candidates")
+    sent = known.select("id", F.explode("keys").alias("key")).withColumn("head", F.min("id").over(per_key)).withColumn("_last", F.max("id").over(per_key))
+    met = sent.filter("head <> _last").select("key", "id", "head")
+    buckets = materialise(met.unionByName(known.select("id", F.inline("local"))), "buckets")
+    stars = materialise(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    sets = materialise(bloom.semi_join(known.select("id", "shingles"), wanted, "id").dropDuplicates(["id"]), "candidates")
     discard(known)
-    stars = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     first = materialise(verified(stars, sets, threshold), "similar")
     parts = graph.components(first)
-    named = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "head", F.coalesce("component", "id").alias("part"))
-    spread = named.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo <> _hi").select("key")
-    loose = named.join(spread, "key")
-    left, right = (loose.select("key", F.col("id").alias(n), F.col("part").alias("_part" + n), F.col("head").alias("_head" + n)) for n in "ab")
-    rest = left.join(right, "key").filter("a < b AND _parta <> _partb AND a <> _heada").select("a", "b").distinct()
+    members = buckets.select("key", "id").union(buckets.select("key", F.col("head").alias("id"))).distinct()
+    named = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    sizes = named.groupBy("key", "part").agg(F.count("*").alias("n"))
+    spread = sizes.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.max_by("part", F.struct("n", "part")).alias("main")).filter("_lo <> _hi")
+    loose = named.join(spread.select("key", "main"), "key")
+    left = loose.filter("part <> main").select("key", F.col("id").alias("x"), F.col("part").alias("_px"))
+    right = loose.select("key", F.col("id").alias("y"), F.col("part").alias("_py"), "main")
+    rest = left.join(right, "key").filter("_px <> _py AND (_py = main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = materialise(verified(rest, sets, threshold), "similar")
-    if second.isEmpty():
-        return parts
-    return graph.components(first.union(second))
+    found = parts if second.isEmpty() else graph.components(first.union(second))
+    for done in (buckets, stars, sets, first, second, *([] if found is parts else [parts])):
+        discard(done)
+    return found
 
 
 def not_blank() -> Column:
@@ -165,35 +189,39 @@ def member_parts(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = slim.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & not_blank()).select(F.xxhash64("text").alias("id"), "doc_id", "text")
     pairs = materialise(texts.groupBy("id", "doc_id").agg(F.count("*").alias("rows")), "copies")
-    heads = materialise(pairs.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "texts")
-    parts = similar_parts(texts, heads, threshold)
-    joined = pairs.join(parts.withColumnRenamed("node", "id"), "id", "left").join(heads.filter("n > 1").select("id", F.lit(True).alias("_copied")), "id", "left")
+    parts = similar_parts(texts, threshold)
+    copied = pairs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit(True).alias("_copied"))
+    joined = pairs.join(parts.withColumnRenamed("node", "id"), "id", "left").join(copied, "id", "left")
     return joined.filter("component IS NOT NULL OR _copied").select(F.col("id").alias("text_key"), "doc_id", F.coalesce("component", "id").alias("part")), pairs
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Members of near-duplicate groups.
-
-    Result: group_id (the least doc_id of the group, the one to keep), doc_ids
-    (sorted list of all its members), size.  Only groups of two or more.
-    """
-    lists = member_parts(docs, threshold)[0].groupBy("part").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-    return lists.filter(F.size("doc_ids") > 1).select(F.element_at("doc_ids", 1).alias("group_id"), "doc_ids", F.size("doc_ids").cast("long").alias("size"))
+    """Members of near-duplicate groups, one row each: group_id (the least doc_id of the group, the one to keep), doc_id,
+    size (members of the group).  Only groups of two or more; a doc_id that has several texts is in every group that
+    one of them is in."""
+    members = materialise(member_parts(docs, threshold)[0].select("part", "doc_id").distinct(), "members")
+    sizes = members.groupBy("part").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("size")).filter("size > 1")
+    return members.join(sizes, "part").select("group_id", "doc_id", "size")
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, most: int = MOST_BROADCAST) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without all but one document of each group.
 
     Rows outside any group stay, among them those with null doc_id or blank
     text.  Of rows with the same doc_id and text one stays.
+
+    Texts are not shuffled for it but those of rows that a Bloom filter of
+    (doc_id, text) takes for removed or repeated; an exact join decides these.
     """
     members, texts = member_parts(docs, threshold)
-    first = Window.partitionBy("part").orderBy("doc_id", "text_key")
-    gone = materialise(members.withColumn("_n", F.row_number().over(first)).filter("_n > 1").select(F.col("doc_id").alias("_lathe_doc"), F.col("text_key").alias("_lathe_text")), "duplicates")
+    # the least doc_id of a part, and of its texts the least key; by aggregation, for a part may hold a third of all rows
+    least = members.groupBy("part").agg(F.min(F.struct("doc_id", "text_key")).alias("_kept"))
+    gone = members.join(least, "part").filter(F.struct("doc_id", "text_key") != F.col("_kept")).select(F.col("doc_id").alias("_lathe_doc"), F.col("text_key").alias("_lathe_text"))
+    gone = materialise(gone, "duplicates")
+    repeated = texts.filter("rows > 1").select(F.col("doc_id").alias("_lathe_doc"), F.col("id").alias("_lathe_text"))
+    both = F.xxhash64("_lathe_doc", "_lathe_text")
+    shared = bloom.build(gone.union(repeated).select(both.alias("key")))
     named = docs.withColumns({"_lathe_doc": F.col("doc_id").cast("long"), "_lathe_text": F.xxhash64(F.col("text").cast("string"))})
-    # the texts stay where they are while the list of removed rows is small
-    kept = named.join(F.broadcast(gone) if gone.count() <= most else gone, ["_lathe_doc", "_lathe_text"], "left_anti")
-    if not texts.filter("rows > 1").isEmpty():
-        blank = F.col("text").isNull() | ~not_blank() | F.col("doc_id").isNull()
-        kept = kept.filter(blank).unionByName(kept.filter(~blank).dropDuplicates(["_lathe_doc", "_lathe_text"]))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    doubtful = F.coalesce(bloom.may_hold(shared, both) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & not_blank(), F.lit(False))
+    decided = named.filter(doubtful).dropDuplicates(["_lathe_doc", "_lathe_text"]).join(gone, ["_lathe_doc", "_lathe_text"], "left_anti")
+    return named.filter(~doubtful).unionByName(decided).select(*[f"`{c}`" for c in docs.columns])

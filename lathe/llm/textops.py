@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,6 +71,29 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return ids, offsets, uniq
 
 
+#: Letters of scripts that put no spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U000323af"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_UNITS = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+")
+
+
+def units(ids: np.ndarray, offsets: np.ndarray, uniq: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """What ``words`` gives, with words cut around every letter of a script that has no spaces."""
+    cut = [i for i, u in enumerate(uniq) if not u.isascii() and _ANY_UNSPACED.search(u)]
+    if not cut:
+        return ids, offsets, uniq
+    known: dict[str, int] = {u: i for i, u in enumerate(uniq)}
+    parts = [[i] for i in range(len(uniq))]
+    for i in cut:
+        parts[i] = [known.setdefault(u, len(known)) for u in _UNITS.findall(uniq[i])]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.fromiter((k for p in parts for k in p), np.int32, int(counts.sum()))
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    n = counts[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], n)], ends[offsets], list(known)
+
+
 def word_hashes(uniq: list[str]) -> np.ndarray:
     """The first eight bytes of each word's MD5, as unsigned 64-bit integers (any engine can compute them)."""
     md5 = hashlib.md5

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lathe.llm import graph, minhash, textops
+from lathe.llm import bloom, graph, minhash, textops
 
 
 def shingles(text):
@@ -32,6 +33,16 @@ def parts(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
+def groups(docs):
+    """{group_id: sorted members} with the sizes checked."""
+    found = {}
+    for r in minhash.groups(docs).collect():
+        found.setdefault(r["group_id"], []).append((r["doc_id"], r["size"]))
+    for g, own in found.items():
+        assert {n for _, n in own} == {len(own)} and min(own)[0] == g
+    return {g: sorted(d for d, _ in own) for g, own in found.items()}
+
+
 def corpus(seed, groups=25):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(400)]
@@ -60,13 +71,13 @@ def test_groups_match_brute_force(spark):
     docs = corpus(11)
     sets = {i: shingles(t) for i, t in docs}
     pairs = [(a, b) for a, _ in docs for b, _ in docs if a < b and jac(sets[a], sets[b]) >= minhash.THRESHOLD]
-    got = [r.asDict() for r in minhash.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
-    where = {d: r["group_id"] for r in got for d in r["doc_ids"]}
+    got = groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    where = {d: g for g, own in got.items() for d in own}
     found = sum(where.get(a, -1) == where.get(b, -2) for a, b in pairs)
     assert found >= 0.9 * len(pairs)
     want = parts([i for i, _ in docs], pairs)
-    for r in got:  # nothing is joined that brute force keeps apart
-        assert len({want[d] for d in r["doc_ids"]}) == 1 and r["group_id"] == min(r["doc_ids"]) and r["size"] == len(r["doc_ids"])
+    for own in got.values():  # nothing is joined that brute force keeps apart
+        assert len({want[d] for d in own}) == 1
 
 
 def test_recall_of_tables_at_the_threshold():
@@ -103,20 +114,18 @@ def test_large_group_and_outsiders(spark):
         w[i] = f"x{i}"
         rows.append((i, " ".join(w)))
     rows.append((999, "entirely other words are here"))
-    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [r["doc_ids"] for r in got] == [list(range(120))]
+    for slices in (1, 7):
+        got = groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(slices))
+        assert got == {0: list(range(120))}
 
 
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 2), (3, " \n", 3), (4, "one two", 4), (5, "One  two", 5), (6, "one two", 6), (6, "one two", 6), (None, "one two", 7), (7, None, 8), (8, "z " * 50_000, 9), (9, "z " * 50_001, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
-    got = sorted(r["doc_ids"] for r in minhash.groups(docs).collect())
-    assert got == [[4, 5, 6], [8, 9]]
+    assert groups(docs) == {4: [4, 5, 6], 8: [8, 9]}
     kept = minhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 7), (False, 8), (True, 0)]
-    ids = lambda df: sorted(map(str, (r["doc_id"] for r in df.collect())))
-    assert ids(minhash.deduplicate(docs, most=0)) == ids(kept)
     assert minhash.groups(docs.limit(0)).count() == 0 and minhash.deduplicate(docs.limit(0)).count() == 0
 
 
@@ -127,3 +136,71 @@ def test_jaccard_is_exact():
     ids, offsets, uniq = textops.words(texts)
     hashes, starts = textops.shingle_hashes(ids, offsets, textops.word_hashes(uniq), 3)
     assert starts.tolist() == [0, 2, 3, 3] and len(set(hashes.tolist())) == 3
+
+
+def test_repeated_rows_are_one_document(spark):
+    """One repetition or ten thousand give the same rows."""
+    base = [f"t{i}" for i in range(60)]
+    near = " ".join(["x", *base[1:]])
+    alone = "some other words that stand alone here"
+    rows = [(1, " ".join(base)), (2, near), (3, alone), (4, "and one more of its own kind")]
+    want = None
+    for times in (1, 10_000):
+        docs = spark.createDataFrame([r for r in rows[:3] for _ in range(times)] + rows[3:], "doc_id long, text string").repartition(3)
+        got = (groups(docs), sorted((r["doc_id"], r["text"]) for r in minhash.deduplicate(docs).collect()))
+        assert want is None or got == want
+        want = got
+    assert want == ({1: [1, 2]}, [(1, " ".join(base)), (3, alone), (4, rows[3][1])])
+
+
+def test_same_rows_whatever_the_filter_lets_through(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(12), "doc_id long, text string").repartition(3)
+    want = (groups(docs), sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()))
+    monkeypatch.setattr(bloom, "_places", lambda keys, words: (np.zeros(len(keys), np.int64), np.ones(len(keys), np.uint64)))
+    assert want == (groups(docs), sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()))
+    assert want[0] and len(want[1]) < docs.count()
+
+
+def test_filter_holds_its_keys_and_few_others(spark):
+    keys = spark.range(0, 200_000, 2).selectExpr("id AS key")
+    shared = bloom.build(keys)
+    assert spark.range(0, 200_000, 2).filter(bloom.may_hold(shared, F.col("id"))).count() == 100_000
+    assert spark.range(1, 200_000, 2).filter(bloom.may_hold(shared, F.col("id"))).count() < 3_000
+    assert spark.sql("SELECT CAST(NULL AS long) AS id").filter(bloom.may_hold(shared, F.col("id"))).count() == 0
+    assert spark.range(10).filter(bloom.may_hold(bloom.build(keys.limit(0)), F.col("id"))).count() == 0
+
+
+def test_a_bucket_of_two_parts_and_outsiders(spark):
+    """Members that the least of their bucket is unlike are verified against the others."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for kind in range(3):
+        own = common + [f"k{kind}_{i}" for i in range(60)]
+        for k in range(6):
+            w = list(own)
+            w[-1 - k] = f"z{kind}_{k}"
+            rows.append((100 * kind + k, " ".join(w)))
+    rng.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    want = parts(sets, [(a, b) for a in sets for b in sets if a < b and jac(sets[a], sets[b]) >= minhash.THRESHOLD])
+    got = groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {d: g for g, own in got.items() for d in own} == want
+
+
+def test_scripts_without_spaces(spark):
+    """Near copies of Chinese, Japanese and Thai text that differ in one letter are found."""
+    rng = random.Random(4)
+    rows = []
+    for n, (low, high) in enumerate(((0x4E00, 0x9FFF), (0x3041, 0x3096), (0x0E01, 0x0E2E))):
+        text = [chr(rng.randint(low, high)) for _ in range(80)]
+        rows.append((10 * n, "".join(text)))
+        text[40] = chr(low)
+        rows.append((10 * n + 1, "".join(text)))
+    assert groups(spark.createDataFrame(rows, "doc_id long, text string")) == {0: [0, 1], 10: [10, 11], 20: [20, 21]}
+
+
+def test_columns_of_other_types_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", 1), (2, "a b c d", "y", 2)], "doc_id int, text string, id string, key int").withColumn("part", F.lit(1))
+    assert groups(docs) == {1: [1, 2]}
+    assert [r["id"] for r in minhash.deduplicate(docs).collect()] == ["x"]
