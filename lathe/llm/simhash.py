@@ -18,9 +18,9 @@ it, which makes the search exact and free of a final distinct.  The number of
 blocks follows the number of fingerprints (``blocks_for``), so that the keys
 have enough bits to part unlike fingerprints; it changes no result.
 
-Equal fingerprints are one class, which the search sees once however many
-documents it has: the result is pairs between classes, each named by its least
-doc_id, plus the members of every class.
+Equal fingerprints are searched once however many documents have them.  The
+result is one row per document: the class it is in (documents connected by
+fingerprints within the radius) and the number of its links.
 
 Defined results: a null or empty text has no fingerprint (null) and takes no
 part in the search; rows with equal doc_id count as one document if their
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm import textops
+from lathe.llm import graph, textops
 from lathe.storage import materialise
 
 RADIUS = 6
@@ -136,29 +136,26 @@ def neighbours(fps: DataFrame, radius: int = RADIUS, blocks: int = 9) -> DataFra
 
 
 def near_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Documents with equal or near fingerprints.
+    """The documents whose fingerprint is equal to or near another's.
 
-    Result: fp_a, fp_b, distance, doc_a, doc_b.  A class of documents with one
-    fingerprint has a row for every document but its least, with fp_a = fp_b,
-    distance 0, the least doc_id as doc_a and the other as doc_b; two classes
-    within ``radius`` have one row, fp_a < fp_b, with their least doc_ids.
+    Result: doc_id, fp, class_id (the least doc_id of all documents that are
+    connected with this one), copies (documents with this fingerprint, itself
+    included) and links (other fingerprints within ``radius``).
     """
     prints = materialise(fingerprint(docs).filter("fp IS NOT NULL AND doc_id IS NOT NULL").distinct(), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    members = prints.join(classes.filter("n > 1").select("fp", "least"), "fp").filter("doc_id <> least")
-    same = members.select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"), F.lit(0).alias("distance"), F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"))
-    pairs = neighbours(classes.select("fp"), radius, blocks_for(classes.count(), radius))
-    near = (
-        pairs.join(classes.select(F.col("fp").alias("fp_a"), F.col("least").alias("doc_a")), "fp_a")
-        .join(classes.select(F.col("fp").alias("fp_b"), F.col("least").alias("doc_b")), "fp_b")
-        .select("fp_a", "fp_b", "distance", "doc_a", "doc_b")
-    )
-    return same.unionByName(near)
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    pairs = materialise(neighbours(classes.select("fp"), radius, blocks_for(classes.count(), radius)), "neighbours")
+    links = pairs.select(F.col("fp_a").alias("fp")).union(pairs.select("fp_b")).groupBy("fp").agg(F.count("*").alias("links"))
+    parts = graph.components(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))).select(F.col("node").alias("fp"), "component")
+    known = classes.join(parts, "fp", "left").join(links, "fp", "left").filter("component IS NOT NULL OR copies > 1")
+    known = known.select("fp", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "fp").alias("part"))
+    named = known.join(known.groupBy("part").agg(F.min("least").alias("class_id")), "part").select("fp", "class_id", "copies", "links")
+    return prints.join(named, "fp").select("doc_id", "fp", "class_id", "copies", "links")
 
 
 #: The same result in SQL: word hashes from MD5, all pairs compared.
 ORACLE = f"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 terms AS (SELECT doc_id, r, w, length(bin(count(*))) AS weight FROM (SELECT doc_id, r, unnest(w) AS w FROM words) GROUP BY ALL),
 hashed AS (SELECT doc_id, r, weight, ('0x' || left(md5(w), 16))::UBIGINT AS h FROM terms),
@@ -169,8 +166,11 @@ votes AS (
 prints AS (
   SELECT DISTINCT doc_id, fp FROM (
     SELECT doc_id, r, sum(CASE WHEN v > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::UBIGINT << i)::HUGEINT END ELSE 0 END)::BIGINT AS fp FROM votes GROUP BY doc_id, r)),
-classes AS (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp)
-SELECT fp AS fp_a, fp AS fp_b, 0::INTEGER AS distance, least AS doc_a, doc_id AS doc_b FROM prints JOIN classes USING (fp) WHERE doc_id <> least
-UNION ALL
-SELECT a.fp, b.fp, bit_count(xor(a.fp, b.fp))::INTEGER, a.least, b.least FROM classes a JOIN classes b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= {RADIUS}
+classes AS (SELECT fp, min(doc_id) AS least, count(*) AS copies FROM prints GROUP BY fp),
+near AS (SELECT a.fp, b.fp AS other FROM classes a JOIN classes b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {RADIUS}),
+reached AS (SELECT fp, fp AS other FROM classes UNION SELECT r.fp, n.other FROM reached r JOIN near n ON n.fp = r.other),
+named AS (SELECT r.fp, min(c.least) AS class_id FROM reached r JOIN classes c ON c.fp = r.other GROUP BY r.fp),
+linked AS (SELECT fp, count(*) AS links FROM near GROUP BY fp)
+SELECT p.doc_id, fp, n.class_id, c.copies, coalesce(l.links, 0) AS links
+FROM prints p JOIN classes c USING (fp) JOIN named n USING (fp) LEFT JOIN linked l USING (fp) WHERE c.copies > 1 OR l.links > 0
 """
