@@ -4,23 +4,24 @@ Public vocabularies measure each whole text: characters per token of a
 byte-level vocabulary and of a piece vocabulary, the share of byte-fallback
 tokens of the latter, and the entropy of its tokens in bits.  Documents are
 grouped by language (the ``lang`` column; where it is null, the script of most
-letters), and a band per group is drawn from the measures of all its
-documents: lower and upper quartile widened by ``SPREAD`` times their
-distance.  A document outside a band is rejected, with the names of the rules
-it broke.
-
-The bands are drawn from texts of at least ``LEAST_TOKENS`` tokens, in groups of
-at least ``LEAST_DOCUMENTS`` such texts.  Measures of a shorter text are noisier
-by the root of its tokens, so it is judged by a band whose reach beyond the
-quartiles is ``sqrt(LEAST_TOKENS / n_tokens)`` times as wide.  Texts of smaller
-groups have no band and are judged by byte fallback alone, against
-``MOST_FALLBACK``.
-Entropy depends on length, so it is banded as its distance from the entropy
-that texts of its length have in its group: a line fitted over all documents in
-``1 / sqrt(n_pieces)``, in which the entropy of running text rises to its limit
-almost straight, never above ``log2(n_pieces)``.  Few words repeated over a long
-text lie bits below that line.  Evenness, ``entropy / log2(distinct)``, is high
-for such texts and is reported but not banded.
+letters).  A document is judged by how far its measures lie from the centre of
+its group, and a band of such distances is drawn from all documents: lower and
+upper quartile widened by ``SPREAD`` times their distance.  A document outside
+a band is rejected, with the names of the rules it broke.
+
+One rule holds for every length and every size of group:
+
+* measures of a short text are noisy by the root of its tokens, so a distance
+  is multiplied by ``sqrt(n / (n + SHORT))`` before it is banded or judged, and a
+  text counts ``n / (n + SHORT)`` towards the weight of its group;
+* centres and quartiles of a group of weight w are averaged, ``w : FEW``, with
+  those of its script, and these in the same way with those of all documents,
+  so a rare language is judged by its script until it has a say of its own;
+* entropy depends on length, so its centre is a line, fitted over the group in
+  ``1 / sqrt(n_pieces)``, in which the entropy of running text rises to its limit
+  almost straight, never above ``log2(n_pieces)``.  Few words repeated over a
+  long text lie bits below it.  Evenness, ``entropy / log2(distinct)``, is high
+  for such texts and is reported but not banded.
 
 Defined results: a null or empty text has no tokens, null measures and is
 rejected with rule 'empty'; equal rows get equal results; a null doc_id is
@@ -40,8 +41,10 @@ from lathe.storage import materialise
 
 BYTE_LEVEL = f"{tokens.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 PIECES = f"{tokens.TOKENIZERS}/piece_bpe_32k.model"
-LEAST_TOKENS = 64
-LEAST_DOCUMENTS = 50
+#: Tokens at which a text has half the weight of a very long one.
+SHORT = 64
+#: Weight of a group, in long texts, at which it is judged half by itself and half by its script.
+FEW = 50
 SPREAD = 4.0
 MOST_FALLBACK = 0.5
 BANDED = ("chars_per_token", "chars_per_piece", "fallback_share", "entropy")
@@ -60,13 +63,13 @@ def measure_texts(texts: list[str | None], byte_level: str, pieces: str) -> dict
     bpe, sp = tokens.byte_bpe(byte_level), tokens.pieces(pieces)
     out: dict[str, list] = {k: [] for k in ("n_chars", "n_tokens", "n_pieces", "chars_per_token", "chars_per_piece", "fallback_share", "entropy", "evenness", "script")}
     encoded = sp.encode([t or "" for t in texts], num_threads=1)
+    lengths = np.diff(tokens.encode_column(bpe, pa.array(texts, pa.string()))[1]).tolist()
     low, high = sp.piece_to_id("<0x00>"), sp.piece_to_id("<0xFF>")
-    for text, ids in zip(texts, encoded):
+    for text, ids, n in zip(texts, encoded, lengths):
         if not text or not ids:
             for k in out:
                 out[k].append(0 if k.startswith("n_") else None)
             continue
-        n = len(tokens.encode(bpe, text))
         array = np.asarray(ids, dtype=np.int32)
         bits, distinct = entropy(array)
         out["n_chars"].append(len(text))
@@ -107,51 +110,71 @@ def measure(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
     return kept.mapInArrow(textops.map_slices(run), SCHEMA)
 
 
-def banded(m: str) -> Column:
-    """What is banded of a measure: itself, for entropy its distance from the fitted line (``_level``, ``_slope``)."""
-    if m != "entropy":
-        return F.col(m)
-    pieces = F.greatest(F.col("n_pieces"), F.lit(1))
-    line = F.col("_level") + F.col("_slope") / F.sqrt(pieces)
-    return F.col(m) - F.least(F.greatest(line, F.lit(0.0)), F.log2(pieces))
+#: Quartiles of distances, and the centres they are taken from.
+CENTRES = tuple(m for m in BANDED if m != "entropy") + ("level", "slope")
+QUARTILES = tuple(f"{m}_{side}" for m in BANDED for side in ("q1", "q3"))
 
 
-def lines(measured: DataFrame) -> DataFrame:
-    """grp and the line of entropy over ``1 / sqrt(n_pieces)``, which does not fall with length."""
-    x = 1 / F.sqrt("n_pieces")
-    fitted = measured.filter(F.col("n_tokens") >= LEAST_TOKENS).groupBy("grp").agg(F.avg(x).alias("_x"), F.avg("entropy").alias("_y"), F.regr_slope("entropy", x).alias("_fit"))
-    slope = F.when(F.col("_fit") < 0, F.col("_fit")).otherwise(0.0)
-    return fitted.select("grp", (F.col("_y") - slope * F.col("_x")).alias("_level"), slope.alias("_slope"))
+def say(n: Column) -> Column:
+    """The weight of a text of ``n`` tokens."""
+    return n / (n + F.lit(SHORT))
 
 
-def bands(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """grp, its line of entropy and, of each banded measure, its lower and upper bound."""
-    judged = measured.filter(F.col("n_tokens") >= LEAST_TOKENS).join(F.broadcast(lines(measured)), "grp")
-    quartiles = judged.groupBy("grp", "_level", "_slope").agg(F.count("*").alias("_n"), *[F.percentile_approx(banded(m), [0.25, 0.75], 10_000).alias(m) for m in BANDED])
-    bounds = []
-    for m in BANDED:
-        low, high = F.col(m)[0], F.col(m)[1]
-        reach = F.greatest((high - low) * spread, F.lit(LEAST_WIDTH[m]))
-        bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high"), reach.alias(f"{m}_reach")]
-    return quartiles.filter(F.col("_n") >= LEAST_DOCUMENTS).select("grp", "_level", "_slope", *bounds)
+def distance(m: str) -> Column:
+    """How far a measure lies from its centre (the columns ``CENTRES`` with a leading _), less for a short text."""
+    centre = F.col(f"_{m}") if m != "entropy" else F.least(F.greatest(F.col("_level") + F.col("_slope") / F.sqrt("n_pieces"), F.lit(0.0)), F.log2("n_pieces"))
+    return (F.col(m) - centre) * F.sqrt(say(F.col("n_tokens")))
+
+
+def pooled(spoken: DataFrame, figures: tuple[str, ...], of: list[Column]) -> DataFrame:
+    """(grp, script, _figure, ...): figures of each group and script that occurs, averaged with those of the script and of all.
+
+    ``of`` are the aggregates that give the figures, without names, over the texts that have tokens.
+    """
+    weight = F.sum(say(F.col("n_tokens"))).alias("w")
+    own = [a.alias(f) for a, f in zip(of, figures)]
+    levels = {"g": spoken.groupBy("grp").agg(weight, *own), "s": spoken.groupBy("script").agg(weight, *own), "a": spoken.agg(weight, *own)}
+    renamed = {k: t.select(*[c for c in ("grp", "script") if c in t.columns], *[F.col(c).alias(f"{k}_{c}") for c in ("w", *figures)]) for k, t in levels.items()}
+    pairs = spoken.select("grp", "script").distinct()
+    # a row per group and script: broadcast if Spark finds them small, as they are
+    joined = pairs.join(renamed["g"], "grp").join(renamed["s"], "script").join(F.broadcast(renamed["a"]))
+
+    def mean(low: Column, w: str, high: Column) -> Column:
+        return (F.coalesce(low, high) * F.col(w) + F.lit(FEW) * high) / (F.col(w) + F.lit(FEW))
+
+    return joined.select("grp", "script", *[mean(F.col(f"g_{f}"), "g_w", mean(F.col(f"s_{f}"), "s_w", F.col(f"a_{f}"))).alias(f"_{f}") for f in figures])
+
+
+def line() -> list[Column]:
+    """Level and slope of entropy over ``1 / sqrt(n_pieces)``, each text by its weight; the slope is not above 0."""
+    x, y, w = 1 / F.sqrt("n_pieces"), F.col("entropy"), say(F.col("n_tokens"))
+    n, sx, sy, sxx, sxy = (F.sum(w * v) for v in (F.lit(1.0), x, y, x * x, x * y))
+    spread = n * sxx - sx * sx
+    slope = F.when(spread > 1e-9 * n * sxx, F.least((n * sxy - sx * sy) / spread, F.lit(0.0))).otherwise(0.0)
+    return [(sy - slope * sx) / n, slope]
+
+
+def bands(spoken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The centres and the quartiles of distances, by (grp, script)."""
+    centres = materialise(pooled(spoken, CENTRES, [*(F.percentile_approx(m, 0.5, 10_000) for m in BANDED if m != "entropy"), *line()]), "centres")
+    far = spoken.join(centres, ["grp", "script"])
+    return centres, materialise(pooled(far, QUARTILES, [F.percentile_approx(distance(m), q, 10_000) for m in BANDED for q in (0.25, 0.75)]), "quartiles")
 
 
 def judge(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, spread: float = SPREAD) -> DataFrame:
     """Measures of every row with grp, broken (sorted names of broken rules) and keep."""
-    grouped = measure(docs, byte_level, pieces).withColumn("grp", F.coalesce("lang", F.concat(F.lit("script:"), F.coalesce("script", F.lit("none")))))
-    measured = materialise(grouped, "fertility")
-    limits = bands(measured, spread)
-    # one row per language or script
-    joined = measured.join(limits, "grp", "left")
-    # how much further than that of a long text the band of a short one reaches
-    wider = F.greatest(F.sqrt(F.lit(LEAST_TOKENS) / F.greatest(F.col("n_tokens"), F.lit(1))), F.lit(1.0)) - 1
+    named = measure(docs, byte_level, pieces).withColumn("script", F.coalesce("script", F.lit("none")))
+    measured = materialise(named.withColumn("grp", F.coalesce("lang", F.concat(F.lit("script:"), F.col("script")))), "fertility")
+    centres, quartiles = bands(measured.filter("n_tokens > 0 AND n_pieces > 0"))
+    joined = measured.join(centres.join(quartiles, ["grp", "script"]), ["grp", "script"], "left")
 
     def rule(name: str, when: Column) -> Column:
         return F.when(F.coalesce(when, F.lit(False)), F.lit(name))
 
     def outside(m: str) -> Column:
-        more = F.col(f"{m}_reach") * wider
-        return (banded(m) < F.col(f"{m}_low") - more) | (banded(m) > F.col(f"{m}_high") + more)
+        low, high = F.col(f"_{m}_q1"), F.col(f"_{m}_q3")
+        reach = F.greatest((high - low) * spread, F.lit(LEAST_WIDTH[m]))
+        return (distance(m) < low - reach) | (distance(m) > high + reach)
 
     rules = [rule(m, outside(m)) for m in BANDED]
     broken = F.array_compact(F.array(rule("empty", F.col("n_tokens") == 0), rule("fallback", F.col("fallback_share") > MOST_FALLBACK), *rules))
