@@ -4,21 +4,24 @@ Lengths are token counts under a public vocabulary.  Packing works on the
 *histogram* of lengths, which has at most ``capacity`` rows whatever the size
 of the corpus:
 
-1. a document longer than ``capacity`` is cut into full sequences and a rest;
+1. a document longer than ``capacity`` is cut into full sequences, which have a
+   bin each, and a rest;
 2. Martello-Toth dominance reduction fixes sets of up to three lengths that
    provably dominate every other set holding the same longest member;
 3. what is left is packed best-fit, longest first;
-4. the plan (length, rank interval -> bins) is joined back to the documents,
-   which are ranked within their length by two-level counting.
+4. the plan (length, rank interval -> bins) is joined back to the documents.  A
+   task ranks its documents within their length as it reads them, and a table
+   of counts by (task, length) gives the ranks before it, so documents are
+   neither sorted nor gathered by length.
 
 Steps 2 and 3 treat equal lengths in bulk, so the driver's work depends on
 ``capacity`` and not on the number of documents.
 
 Defined results: a null or empty text has no tokens and takes no place; equal
-lengths are served in the order of (bucket, doc_id, chunk), and rows with the
-same doc_id are packed each for itself (their ranks among themselves are
-arbitrary, their chunks alike in length); a null doc_id is packed like any
-other; an empty table gives an empty result; other columns are ignored.
+lengths are served in the order in which they are read, so which of them shares
+a bin with what depends on the partitioning of the input; rows with the same
+doc_id are packed each for itself; a null doc_id is packed like any other; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +40,13 @@ from lathe.storage import materialise
 
 CAPACITY = 2048
 VOCABULARY = f"{tokens.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
-BUCKETS = 64
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every row."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoding = tokens.byte_bpe(vocabulary)
-        n = [len(tokens.encode(encoding, t)) if t else 0 for t in batch.column("text").to_pylist()]
+        n = np.diff(tokens.encode_column(tokens.byte_bpe(vocabulary), batch.column("text"))[1])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -252,6 +254,34 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
+RANKED = "doc_id long, task int, full long, full_before long, rest long, rank long"
+
+
+def ranked(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Of every (doc_id, n_tokens): its full sequences, those before it in its task, its rest and the rest's rank among
+    the equal ones of its task."""
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        seen, whole = np.zeros(capacity, np.int64), 0
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy()
+            full, rest = n // capacity, n % capacity
+            order = np.argsort(rest, kind="stable")
+            r = rest[order]
+            runs = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))[: len(r)]
+            rank = np.empty(len(n), np.int64)
+            rank[order] = np.arange(len(r)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(r)]]))) + seen[r]
+            seen += np.bincount(rest, minlength=capacity)
+            before = whole + np.cumsum(full) - full
+            whole += int(full.sum())
+            columns = [pa.array(np.full(len(n), task), pa.int32()), *(pa.array(x, pa.int64()) for x in (full, before, rest, rank))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "task", "full", "full_before", "rest", "rank"])
+        textops.release()
+
+    return lengths.filter("n_tokens > 0").select("doc_id", "n_tokens").mapInArrow(run, RANKED)
+
+
 def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack (doc_id, n_tokens) rows; see the module for the result's rules.
 
@@ -259,36 +289,41 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     A full chunk of a long document has a bin of its own (rule 'alone').
     """
     spark = lengths.sparkSession
-    chunks = lengths.filter("n_tokens > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {capacity}"))).alias("chunk"), F.col("n_tokens").alias("_all")
-    )
-    chunks = chunks.select(
-        "doc_id", "chunk", (F.col("chunk") * capacity).alias("chunk_from"), F.least(F.lit(capacity).cast("long"), F.col("_all") - F.col("chunk") * capacity).alias("n_tokens")
-    ).withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    by_bucket = chunks.groupBy("n_tokens", "_bucket").agg(F.count("*").alias("_n"))
-    # at most capacity x BUCKETS rows, whatever the corpus
-    per_length = Window.partitionBy("n_tokens").orderBy("_bucket")
-    offsets = by_bucket.withColumn("_before", F.sum("_n").over(per_length.rowsBetween(Window.unboundedPreceding, -1))).select("n_tokens", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    histogram = {r["n_tokens"]: r["n"] for r in by_bucket.groupBy("n_tokens").agg(F.sum("_n").alias("n")).collect()}
+    known = materialise(ranked(lengths, capacity), "lengths")
+    # by (task, length), length 0 standing for the full chunks: at most capacity rows a task
+    counts = known.filter("rest > 0").groupBy("task", F.col("rest").alias("length")).agg(F.count("*").alias("n"))
+    counts = materialise(counts.unionByName(known.groupBy("task").agg(F.lit(0).cast("long").alias("length"), F.sum("full").alias("n"))), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram.pop(0, None)
     plan = make_plan(histogram, capacity)
     rows = slots(plan)
-    schema = "n_tokens long, _from long, _to long, _bin long, _each long, _offset long, rule string"
+    schema = "rest long, _from long, _to long, _bin long, _each long, _offset long, rule string"
     table = spark.createDataFrame(rows, schema)
-    ranked = (
-        chunks.withColumn("_rank", F.row_number().over(Window.partitionBy("n_tokens", "_bucket").orderBy("doc_id", "chunk")) - 1)
-        .join(offsets, ["n_tokens", "_bucket"])
-        .withColumn("_rank", F.col("_rank") + F.col("_before"))
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("task", F.col("length").alias("rest"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    placed = (
+        known.filter("rest > 0").join(before, ["task", "rest"]).withColumn("_rank", F.col("rank") + F.col("_before")).join(_small(table, len(rows)), "rest").filter("_rank >= _from AND _rank < _to")
     )
-    placed = ranked.join(_small(table, len(rows)), "n_tokens").filter("_rank >= _from AND _rank < _to")
-    return placed.select(
+    rests = placed.select(
         "doc_id",
-        "chunk",
-        "chunk_from",
-        "n_tokens",
+        F.col("full").alias("chunk"),
+        (F.col("full") * capacity).alias("chunk_from"),
+        F.col("rest").alias("n_tokens"),
         F.expr("_bin + (_rank - _from) div _each").alias("bin_id"),
-        F.expr("_offset + ((_rank - _from) % _each) * n_tokens").alias("bin_offset"),
+        F.expr("_offset + ((_rank - _from) % _each) * rest").alias("bin_offset"),
         "rule",
     )
+    full = known.filter("full > 0").join(before.filter("rest = 0").select("task", "_before"), "task").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("chunk"), (F.col("_before") + F.col("full_before")).alias("_first"))
+    alone = full.select(
+        "doc_id",
+        "chunk",
+        (F.col("chunk") * capacity).alias("chunk_from"),
+        F.lit(capacity).cast("long").alias("n_tokens"),
+        (F.lit(plan.bins) + F.col("_first") + F.col("chunk")).alias("bin_id"),
+        F.lit(0).cast("long").alias("bin_offset"),
+        F.lit("alone").alias("rule"),
+    )
+    return rests.unionByName(alone)
 
 
 def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
@@ -298,4 +333,4 @@ def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Place every document's tokens in sequences of ``capacity`` tokens."""
-    return pack_lengths(materialise(token_counts(docs, vocabulary), "lengths"), capacity)
+    return pack_lengths(token_counts(docs, vocabulary), capacity)

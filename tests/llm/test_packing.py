@@ -107,6 +107,21 @@ def test_pack_lengths_places_everything_once(spark):
     assert {r["bin_id"] for r in rows} == set(range(bins))
 
 
+def test_full_chunks_and_equal_lengths_over_many_tasks(spark):
+    """A third of all rows is one document, another third fills whole sequences."""
+    lengths = [(1, 40)] * 200 + [(i, 128) for i in range(200)] + [(i, 64 * (i % 3) + i % 7) for i in range(200)]
+    for slices in (1, 5):
+        rows = packing.pack_lengths(spark.createDataFrame(lengths, "doc_id long, n_tokens long").repartition(slices), 64).collect()
+        bins = check_packed(rows, lengths, 64)
+        assert {r["bin_id"] for r in rows} == set(range(bins))
+        assert sum(r["n_tokens"] == 64 for r in rows) == 400 + sum(i % 3 for i in range(200)) and all(r["rule"] == "alone" for r in rows if r["n_tokens"] == 64)
+
+
+def test_columns_of_other_types(spark):
+    docs = spark.sql("SELECT CAST('7' AS string) AS doc_id, 'a b c' AS text, 1L AS rank, 2 AS task")
+    assert [r["doc_id"] for r in packing.pack(docs).collect()] == [7]
+
+
 def test_edge_rows(spark):
     long = "word " * 30_000
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, long, None), (4, "a b", "y"), (4, "a b", "y"), (None, "c", "y")], "doc_id long, text string, bin_id string")
