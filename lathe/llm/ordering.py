@@ -11,9 +11,10 @@
    number its slot in 0..N-1: a bijection that needs no shuffle and no state.
 4. Sequences go to the partition of their slot range (ranges are exact, no
    sampling), are sorted by slot and joined to shards of ``PER_SHARD`` slots.
-   A shard is ``PER_SHARD`` times a fixed stride of ``2 * LENGTH`` bytes (little-endian
-   uint16), the last one shorter, so slot s lies in shard s // PER_SHARD at byte
-   (s % PER_SHARD) * stride and reading can resume at any slot.
+   A shard is ``PER_SHARD`` times a fixed stride, the last one shorter, so slot s
+   lies in shard s // PER_SHARD at byte (s % PER_SHARD) * stride and reading can
+   resume at any slot.  Ids are little-endian, of two bytes if the vocabulary's
+   ids fit, else of four (``id_type``): the stride is ``LENGTH`` times that.
 
 Result: shard, first_slot, n_sequences, stride, crc32, payload, and spans: for
 every sequence of the shard the documents in it, as doc_id, ``at`` (place in the
@@ -47,8 +48,9 @@ PER_SHARD = 2048
 KEY = 0x5EED
 ROUNDS = 6
 #: Shards per partition of the last shuffle (8 MB each).
-SHARDS_TOGETHER = 8
-SLICE = 4_000_000
+SHARDS_TOGETHER = 4
+#: Bytes that a task holds back while it writes a table of sequences.
+ROW_GROUP = 16 << 20
 SPANS = "array<struct<doc_id: long, at: int, first: long>>"
 _SPAN = pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("first", pa.int64())])
 
@@ -92,12 +94,17 @@ class Feistel:
         return self._walk(np.asarray(slot), False)
 
 
+def id_type(vocabulary: str, end: int) -> str:
+    """The least type of numpy that holds every id of the vocabulary and ``end``."""
+    return "<u2" if max(tokens.byte_bpe(vocabulary).n_vocab - 1, end) < 1 << 16 else "<u4"
+
+
 class Cutter:
     """Cuts a stream of documents into sequences of fixed length with their spans."""
 
-    def __init__(self, length: int, end: int):
-        self.length, self.end = length, end
-        self.rest = np.zeros(0, np.uint16)
+    def __init__(self, length: int, end: int, kind: str = "<u2"):
+        self.length, self.end, self.kind = length, end, kind
+        self.rest = np.zeros(0, kind)
         self.open: list[tuple[int | None, int, int]] = []  # (doc_id, at, first) within the rest
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], list[list[tuple]]]:
@@ -106,7 +113,7 @@ class Cutter:
         # one end-of-text id behind every document that has tokens
         sizes = sizes[some] + 1
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        stream = np.full(int(starts[-1]), self.end, dtype=np.uint16)
+        stream = np.full(int(starts[-1]), self.end, dtype=self.kind)
         inside = np.ones(len(stream), dtype=bool)
         inside[starts[1:] - 1] = False
         stream[inside] = ids
@@ -142,17 +149,18 @@ class Cutter:
         n = len(self.rest)
         if not n:
             return [], [], 0
-        filled = np.full(self.length, self.end, dtype=np.uint16)
+        filled = np.full(self.length, self.end, dtype=self.kind)
         filled[:n] = self.rest
         return [filled.tobytes()], [self.open], n
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end: int = tokens.END_OF_TEXT) -> DataFrame:
     """(task, place, data, spans): the corpus as sequences of ``length`` ids."""
+    kind = id_type(vocabulary, end)
 
     def run(batches):
         encoding = tokens.byte_bpe(vocabulary)
-        cutter, task, place = Cutter(length, end), TaskContext.get().partitionId(), 0
+        cutter, task, place = Cutter(length, end, kind), TaskContext.get().partitionId(), 0
 
         def batch_of(data: list[bytes], spans: list[list[tuple]], first: int) -> pa.RecordBatch:
             flat = [s for own in spans for s in own]
@@ -162,7 +170,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULAR
             n = len(data)
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, task), pa.int32()), pa.array(np.arange(first, first + n), pa.int64()), pa.array(data, pa.binary()), lists], ["task", "place", "data", "spans"])
 
-        for batch in textops.slices(batches, limit=SLICE):
+        for batch in textops.slices(batches):
             data, spans = cutter.add(batch.column("doc_id").to_pylist(), *tokens.encode_column(encoding, batch.column("text")))
             if data:
                 yield batch_of(data, spans, place)
@@ -170,6 +178,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULAR
         data, spans, _ = cutter.last()
         if data:
             yield batch_of(data, spans, place)
+        textops.release()
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(run, f"task int, place long, data binary, spans {SPANS}")
@@ -180,7 +189,8 @@ SCHEMA = f"shard long, first_slot long, n_sequences long, stride int, crc32 long
 
 def shards(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY, end: int = tokens.END_OF_TEXT) -> DataFrame:
     """One row per shard, in the form that the module describes."""
-    written = materialise(sequences(docs, length, vocabulary, end), "sequences")
+    written = materialise(sequences(docs, length, vocabulary, end), "sequences", **{"parquet.block.size": ROW_GROUP})
+    stride = length * np.dtype(id_type(vocabulary, end)).itemsize
     counts = sorted((r["task"], r["n"]) for r in written.groupBy("task").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     before = np.concatenate([[0], np.cumsum([n for _, n in counts])]).astype(np.int64)
@@ -204,12 +214,13 @@ def shards(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, ke
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if held and held[0].column("slot")[0].as_py() // per_shard != shard[a]:
-                    yield shard_row(held, per_shard, 2 * length)
+                    yield shard_row(held, per_shard, stride)
                     held = []
                 if b > a:
                     held.append(batch.slice(a, b - a))
         if held:
-            yield shard_row(held, per_shard, 2 * length)
+            yield shard_row(held, per_shard, stride)
+        textops.release()
 
     placed = written.mapInArrow(place, f"part int, slot long, data binary, spans {kind}")
     sorted_ = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("slot")
@@ -257,8 +268,8 @@ def write_shards(found: DataFrame, uri: str) -> DataFrame:
     return found.mapInArrow(run, "shard long, first_slot long, n_sequences long, stride int, crc32 long, file string")
 
 
-def read_from(uri: str, slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """The sequences from ``slot`` on, in training order."""
+def read_from(uri: str, slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> Iterator[np.ndarray]:
+    """The sequences from ``slot`` on, in training order; ``kind`` is what ``id_type`` gives for the vocabulary."""
     fs, root = _files(uri)
     shard, inside = divmod(slot, per_shard)
     while True:
@@ -266,7 +277,8 @@ def read_from(uri: str, slot: int = 0, length: int = LENGTH, per_shard: int = PE
         if fs.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
             return
         with fs.open_input_file(name) as file:
-            file.seek(inside * 2 * length)
-            while data := file.read(2 * length):
-                yield np.frombuffer(data, "<u2")
+            stride = length * np.dtype(kind).itemsize
+            file.seek(inside * stride)
+            while data := file.read(stride):
+                yield np.frombuffer(data, kind)
         shard, inside = shard + 1, 0

@@ -101,3 +101,22 @@ def test_every_sequence_has_its_slot(spark, tmp_path):
 def test_empty(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert ordering.shards(docs).count() == 0 and ordering.shards(docs.limit(0)).count() == 0
+
+
+def test_ids_beyond_two_bytes(spark, tmp_path):
+    """An end of text above 65,535 gives four bytes an id, and the same sequences."""
+    docs = spark.createDataFrame([(i, f"some words of document {i}") for i in range(30)], "doc_id long, text string").coalesce(2)
+    assert ordering.id_type(ordering.VOCABULARY, END) == "<u2" and ordering.id_type(ordering.VOCABULARY, 70_000) == "<u4"
+    read = {}
+    for end, kind in ((END, "<u2"), (70_000, "<u4")):
+        rows = ordering.shards(docs, length=16, per_shard=4, end=end)
+        assert {r["stride"] for r in rows.collect()} == {16 * int(kind[-1])}
+        ordering.write_shards(rows, f"{tmp_path}/{end}").collect()
+        read[end] = [s.tolist() for s in ordering.read_from(f"{tmp_path}/{end}", 3, 16, 4, kind)]
+    assert read[70_000] == [[70_000 if x == END else x for x in s] for s in read[END]] and len(read[END]) > 4
+
+
+def test_columns_of_other_types(spark):
+    docs = spark.sql("SELECT CAST('7' AS string) AS doc_id, 'a b c' AS text, 1L AS slot, 2 AS part, 'x' AS data")
+    row = ordering.shards(docs, length=8).collect()[0]
+    assert row["n_sequences"] == 1 and row["spans"][0][0]["doc_id"] == 7
