@@ -39,7 +39,7 @@ class Outcome:
     saved: int
 
 
-def crawl(spark: SparkSession, site_key: str, site: config.Site, app: config.App, fetch: Fetch, table: KeyedTable | None = None, store: History | None = None, rules: DataFrame | None = None, sitemap_pages: DataFrame | None = None, resume: bool = False, incremental: bool = False) -> Outcome:
+def crawl(spark: SparkSession, site_key: str, site: config.Site, app: config.App, fetch: Fetch, table: KeyedTable | None = None, store: History | None = None, rules: DataFrame | None = None, sitemap_pages: DataFrame | None = None, resume: bool = False, incremental: bool = False, start: DataFrame | None = None) -> Outcome:
     """Crawl a site level by level.
 
     Each level: pages due by their stored state; depth and robots policy; fetch;
@@ -56,7 +56,7 @@ def crawl(spark: SparkSession, site_key: str, site: config.Site, app: config.App
     if table is not None and not resume:
         table.wipe()
     old = table.read() if table is not None else spark.createDataFrame([], state.PAGE)
-    level = frontier.seeds(site.start_urls, spark, domain, prefix)
+    level = frontier.seeds(site.start_urls if start is None else start, spark, domain, prefix)
     if resume:
         level = level.unionByName(state.requeue(old, incremental))
     if sitemap_pages is not None:

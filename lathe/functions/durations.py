@@ -76,9 +76,10 @@ def backoff(attempt: Column, initial: Column, most: Column) -> Column:
     return F.when((delay <= 0) | (delay > most), most).otherwise(delay)
 
 
-def jitter(delay: Column, seed: int | None = None) -> Column:
-    """Delay within a tenth on either side."""
-    return delay + (F.rand(seed) * 0.2 - 0.1) * delay
+def jitter(delay: Column, seed: int | None = None, key: Column | None = None) -> Column:
+    """Delay within a tenth on either side; of a ``key`` always the same, so that a task that runs again waits as long."""
+    share = F.rand(seed) if key is None else F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return delay + (share * 0.2 - 0.1) * delay
 
 
 def rfc3339(ts: Column) -> Column:

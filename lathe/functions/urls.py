@@ -126,8 +126,10 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
 
 
 def resolve_rooted(base: Column, href: Column) -> Column:
-    """Native form of ``resolve`` for hrefs that begin with a single slash and need no encoding."""
-    return F.concat(scheme(base), F.lit("://"), authority(base), href)
+    """Native form of ``resolve`` for hrefs that begin with a single slash and have no dot segments."""
+    safe = r"[A-Za-z0-9%/:?#\[\]@!$&'()*+,;=~._-]"
+    coded = F.array_join(F.transform(F.split(href, ""), lambda c: F.when(c.rlike(safe), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))), "")
+    return F.concat(scheme(base), F.lit("://"), authority(base), F.when(href.rlike(f"^{safe}*$"), href).otherwise(coded))
 
 
 def output_path(url: Column, domain: str, prefix: str, root: str) -> Column:

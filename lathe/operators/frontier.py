@@ -15,9 +15,9 @@ class NoSeeds(ValueError):
     """No start URL lies within the site's scope."""
 
 
-def seeds(start: list[str], spark, domain: str, prefix: str = "/") -> DataFrame:
-    """(url, depth 0) of the start URLs in scope, normalized; raises if none is."""
-    rows = spark.createDataFrame([(u,) for u in dict.fromkeys(start)], "url string")
+def seeds(start: list[str] | DataFrame, spark, domain: str, prefix: str = "/") -> DataFrame:
+    """(url, depth 0) of the start URLs (a list, or a table with ``url``) in scope, normalized; raises if none is."""
+    rows = start.select("url") if isinstance(start, DataFrame) else spark.createDataFrame([(u,) for u in dict.fromkeys(start)], "url string")
     kept = rows.filter(urls.in_scope(F.col("url"), domain, prefix)).select(urls.normalize(F.col("url")).alias("url"), F.lit(0).cast("long").alias("depth")).distinct()
     if kept.isEmpty():
         raise NoSeeds(f"no start URL on {domain} below {prefix}")

@@ -41,6 +41,19 @@ def s_title(h: str) -> str:
     return f"CASE WHEN {t} = '' THEN 'Untitled Page' ELSE {t} END"
 
 
+def s_unescape(x: str) -> str:
+    """Character references as the tables have them, the ampersand last."""
+    named = x
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        named = f"regexp_replace({named}, '&{name};?', '{char}', 'g')"
+    return named
+
+
+def s_encode(x: str) -> str:
+    """What is no character of a URL, percent-encoded."""
+    return f"list_aggregate(list_transform(string_split({x}, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z0-9%/:?#\\[\\]@!$&''()*+,;=~._-]') THEN c ELSE url_encode(c) END), 'string_agg', '')"
+
+
 def s_sanitize(x: str) -> str:
     """For names of ASCII letters, as in the tables."""
     clean = f"trim(regexp_replace(regexp_replace({x}, '[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g'), '_+', '_', 'g'), '_ ')"
@@ -135,11 +148,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- anchors, Markdown
 
-S_ANCHORS = "anchors AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"(/[A-Za-z]+)\"', 1)) AS href FROM pages)"
+S_ANCHORS = "anchors AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))).alias("href"))
+    return pages(spark, sf_dir).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
 S_MARKDOWN = f"""md AS (

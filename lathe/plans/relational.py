@@ -163,16 +163,16 @@ def history_insert(spark, sf_dir):
 
 # --- joins
 
-S_CANDIDATES = f"""cand AS (SELECT DISTINCT {d.s_scheme('url')} || '://' || {d.s_authority('url')} || href AS url FROM anchors)"""
+S_CANDIDATES = f"""cand AS (SELECT DISTINCT {d.s_scheme('url')} || '://' || {d.s_authority('url')} || {d.s_encode('href')} AS url FROM anchors)"""
 
 
 def _candidates(spark, sf_dir):
     return d.anchors(spark, sf_dir).select(urls.resolve_rooted(U(), F.col("href")).alias("url"), F.lit(1).cast("long").alias("depth"))
 
 
-@register("j01_unseen_links", f"WITH {d.S_ANCHORS}, {S_CANDIDATES} SELECT url, 1::BIGINT AS depth FROM cand WHERE url NOT IN (SELECT {d.s_normalize('url')} FROM pages) AND length(url) % 2 = 0")
+@register("j01_unseen_links", f"WITH {d.S_ANCHORS}, {S_CANDIDATES} SELECT url, 1::BIGINT AS depth FROM cand WHERE url NOT IN (SELECT {d.s_normalize('url')} FROM pages)")
 def unseen_links(spark, sf_dir):
-    return state.unseen(_candidates(spark, sf_dir), d.pages(spark, sf_dir).select(urls.normalize(U()).alias("url"))).filter(F.length("url") % 2 == 0)
+    return state.unseen(_candidates(spark, sf_dir), d.pages(spark, sf_dir).select(urls.normalize(U()).alias("url")))
 
 
 S_DIFF = """d AS (
@@ -231,14 +231,37 @@ def robots_lookup(spark, sf_dir):
     return robots.check(p, rules, "lathe").select("url", "robots_ok")
 
 
+#: What stands at the beginning of a body: marks of the five frameworks by attribute, class, script and text, and none.
+MARKS = [
+    '<div data-docusaurus="1">', '<p class="x theme-doc-markdown">', '<main data-md-component="m">', '<div class="md-main">', '<div class="rst-content">', '<script src="/rtd.js"></script>', '<p class="sphinxsidebar">',
+    '<script src="/a/searchindex.js"></script>', '<p>Created using Sphinx</p>', '<div class="gitbook-root">', '<div class="markdown-section">', '<p>hosted on readthedocs.io</p>', '<p class="not-md-main">', "", "", "",
+]
+
+
+def _framework_sql(html: str) -> str:
+    """The marks of ``pagetree.FRAMEWORKS``, as text of the page's source."""
+    from lathe.operators.pagetree import FRAMEWORKS
+
+    cases = []
+    for name, attributes, classes, scripts, parts, _ in FRAMEWORKS:
+        found = [f"regexp_matches({html}, '<[^>]*[ ]{a}[ =>]')" for a in attributes]
+        found += [f"""regexp_matches({html}, 'class="([^"]*[ ])?{c.removesuffix("*")}{'' if c.endswith("*") else '[ "]'}')""" for c in classes]
+        found += [f"""regexp_matches({html}, '<script[^>]*src="[^"]*{x.replace(".", "[.]")}')""" for x in scripts]
+        found += [f"contains(lower({html}), '{x}')" for x in parts]
+        cases.append(f"WHEN {' OR '.join(found)} THEN '{name}'")
+    return f"CASE {' '.join(cases)} ELSE 'fallback' END"
+
+
 @register("j07_detection_lookup", f"""
-WITH first AS (SELECT {d.s_host('url')} AS host, arg_min(html, url) AS html FROM pages GROUP BY 1)
-SELECT p.url, CASE WHEN contains(lower(f.html), 'gitbook') OR contains(lower(f.html), 'gb-page') THEN 'gitbook' ELSE 'fallback' END AS framework FROM pages p JOIN first f ON f.host = {d.s_host('p.url')}""")
+WITH marked AS (SELECT url, replace(html, '<body>', '<body>' || [{', '.join("'" + m + "'" for m in MARKS)}][page_id % {len(MARKS)} + 1]) AS html FROM pages),
+first AS (SELECT {d.s_host('url')} AS host, arg_min(html, url) AS html FROM marked GROUP BY 1)
+SELECT p.url, {_framework_sql('f.html')} AS framework FROM pages p JOIN first f ON f.host = {d.s_host('p.url')}""")
 def detection_lookup(spark, sf_dir):
-    """Framework of every page's host, decided by the host's first page.  The tables bear no marks of the others."""
+    """Framework of every page's host, decided by the host's first page; the pages bear one of ``MARKS`` each."""
     from lathe.operators import pagetree
 
-    p = d.pages(spark, sf_dir)
+    mark = F.array(*map(F.lit, MARKS))[(F.col("page_id") % len(MARKS)).cast("int")]
+    p = d.pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), mark)))
     found = pagetree.detect(p)
     return p.select("url", urls.hostname(U()).alias("host")).join(found, "host").select("url", F.coalesce("framework", F.lit("fallback")).alias("framework"))
 
@@ -475,14 +498,14 @@ def distinct_sitemaps(spark, sf_dir):
     return robots.sitemaps(d.pages(spark, sf_dir).select(line.alias("body")))
 
 
-@register("u05_selector_union", f"WITH {d.S_ANCHORS} SELECT DISTINCT page_id, href FROM anchors")
+@register("u05_selector_union", f"WITH {d.S_ANCHORS} SELECT DISTINCT page_id, {d.s_unescape('href')} AS href FROM anchors")
 def selector_union(spark, sf_dir):
-    """Anchors found by the page tree below several selectors, each once; restricted to plain hrefs, which the SQL can find."""
+    """Anchors found by the page tree below several selectors, each once."""
     from lathe.operators import pagetree
 
     facts = pagetree.facts_udf("body", ["nav", "nav ul", "body"])
     rows = d.pages(spark, sf_dir).select("page_id", F.explode(facts("html", F.lit(None).cast("string"))["anchors"]).alias("a"))
-    return rows.select("page_id", F.col("a.href").alias("href")).filter(F.col("href").rlike("^/[A-Za-z]+$")).distinct()
+    return rows.select("page_id", F.col("a.href").alias("href")).distinct()
 
 
 @register("s10_s12_sitemaps", f"SELECT DISTINCT {d.s_normalize('url')} AS url, 1::BIGINT AS depth FROM pages WHERE {d.s_path('url')} LIKE '/%' AND {d.s_host('url')} LIKE '%.com'")

@@ -35,9 +35,9 @@ def normalize_cases(spark, sf_dir):
     return _frame(spark, "url string", _ROWS).select("url", n.alias("norm_url"), n.isNotNull().alias("absolute"))
 
 
-@register("x03_resolve_rooted", f"WITH {d.S_ANCHORS} SELECT page_id, href, {d.s_scheme('url')} || '://' || {d.s_authority('url')} || href AS absolute FROM anchors")
+@register("x03_resolve_rooted", f"WITH {d.S_ANCHORS} SELECT page_id, href, {d.s_scheme('url')} || '://' || {d.s_authority('url')} || {d.s_encode('href')} AS absolute FROM anchors")
 def resolve_rooted(spark, sf_dir):
-    """The general resolver on the hrefs whose answer SQL can give."""
+    """The general resolver; the tables' hrefs all begin with a slash, so that SQL can give the answer."""
     return d.anchors(spark, sf_dir).select("page_id", "href", urls.resolve(U(), F.col("href")).alias("absolute"))
 
 
@@ -115,13 +115,37 @@ ERRORS = [
     ("canceled", "", None, "System_ContextCanceled"), ("deadline", "waiting for semaphore", None, "Resource_SemaphoreTimeout"), ("deadline", "slow", None, "System_ContextDeadlineExceeded"), ("net_timeout", "", None, "Network_Timeout"), ("net", "Read TIMEOUT", None, "Network_TimeoutGeneric"),
     ("net", "Connection Refused", None, "Network_ConnectionRefused"), ("net", "no such host", None, "Network_DNSLookup"), ("net", "bad certificate", None, "Network_TLS"), ("net", "TLS alert", None, "Network_TLS"), ("net", "reset by peer", None, "Network_ConnectionReset"), ("net", "broken pipe", None, "Network_BrokenPipe"), ("blocked", "blocked address", None, "Unknown"),
 ]
-_ERROR_SQL, _ = d.cases("kind, message, cause, category", ERRORS)
+#: Every kind with every message and cause, besides those.
+FAILURE_KINDS = sorted({k for k, *_ in ERRORS if k}) + [None]
+FAILURE_MESSAGES = sorted({m for _, m, *_ in ERRORS if m is not None} | {"deadline exceeded", "bad TLS certificate", "status 403 in HTML"}) + [None]
+FAILURE_CAUSES = sorted({c for *_, c, _ in ERRORS if c} | {"net_timeout"}) + [None]
 
 
-@register("x22_error_category", f"SELECT kind, message, cause, category FROM {_ERROR_SQL}")
+def _list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+_ERROR_SQL = f"""(SELECT kind, message, cause, coalesce(message, '') AS m, lower(coalesce(message, '')) AS low
+  FROM (SELECT unnest({_list(FAILURE_KINDS)}) AS kind), (SELECT unnest({_list(FAILURE_MESSAGES)}) AS message), (SELECT unnest({_list(FAILURE_CAUSES)}) AS cause))"""
+_DIRECT_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.DIRECT.items())
+
+
+@register("x22_error_category", f"""
+SELECT kind, message, cause, CASE
+  WHEN kind IS NULL AND message IS NULL THEN 'None'
+  WHEN kind = 'retry_failed' THEN 'RetryFailed_' || CASE WHEN cause IS NULL THEN 'Unknown' WHEN cause = 'server_http' THEN 'HTTPServer' WHEN cause = 'client_http' THEN 'HTTPClient'
+    WHEN regexp_matches(m, '[tT]imeout|deadline exceeded') OR cause = 'net_timeout' THEN 'NetworkTimeout' WHEN m LIKE '%connection refused%' THEN 'ConnectionRefused' WHEN m LIKE '%no such host%' THEN 'DNSLookup' ELSE 'NetworkOther' END
+  WHEN kind = 'client_http' THEN 'HTTP_' || CASE WHEN m LIKE '% 404 %' THEN '404' WHEN m LIKE '% 403 %' THEN '403' WHEN m LIKE '% 401 %' THEN '401' WHEN m LIKE '% 429 %' THEN '429' ELSE '4xx' END
+  WHEN kind = 'parsing' THEN 'Content_Parsing' || CASE WHEN m LIKE '%URL%' THEN 'URL' WHEN m LIKE '%HTML%' THEN 'HTML' WHEN m LIKE '%JSON%' THEN 'JSON' WHEN m LIKE '%XML%' THEN 'XML' ELSE 'Other' END
+  WHEN kind = 'filesystem' THEN 'Filesystem_' || CASE cause WHEN 'permission' THEN 'Permission' WHEN 'not_exist' THEN 'NotExist' WHEN 'exist' THEN 'Exist' ELSE 'Other' END
+  ELSE CASE kind {_DIRECT_SQL} WHEN 'deadline' THEN CASE WHEN m LIKE '%semaphore%' THEN 'Resource_SemaphoreTimeout' ELSE 'System_ContextDeadlineExceeded' END WHEN 'net_timeout' THEN 'Network_Timeout'
+    ELSE CASE WHEN low LIKE '%timeout%' THEN 'Network_TimeoutGeneric' WHEN low LIKE '%connection refused%' THEN 'Network_ConnectionRefused' WHEN low LIKE '%no such host%' THEN 'Network_DNSLookup' WHEN regexp_matches(low, 'tls|certificate') THEN 'Network_TLS'
+      WHEN low LIKE '%reset by peer%' THEN 'Network_ConnectionReset' WHEN low LIKE '%broken pipe%' THEN 'Network_BrokenPipe' ELSE 'Unknown' END END END AS category FROM {_ERROR_SQL}""")
 def error_category(spark, sf_dir):
-    """The ladder against the expected categories."""
-    rows = _frame(spark, "kind string, message string, cause string", [r[:3] for r in ERRORS])
+    """The ladder over every kind, message and cause."""
+    rows = spark.range(1)
+    for name, values in (("kind", FAILURE_KINDS), ("message", FAILURE_MESSAGES), ("cause", FAILURE_CAUSES)):
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v).cast("string") for v in values])))
     return rows.select("kind", "message", "cause", errors.category(F.col("kind"), F.col("message"), F.col("cause")).alias("category"))
 
 
@@ -166,23 +190,29 @@ def backoff(spark, sf_dir):
     return rows.groupBy("attempt", "delay").agg(F.count("*").alias("n"))
 
 
-@register("x28_jitter", "SELECT count(*) AS n, count(*) AS within FROM events")
+@register("x28_jitter", "SELECT event_id, round(10 + (('0x' || left(md5(event_id::VARCHAR), 8))::UINTEGER / 4294967296.0::DOUBLE * 0.2::DOUBLE - 0.1::DOUBLE) * 10, 6) AS delay FROM events")
 def jitter(spark, sf_dir):
-    """All delays of 10 s stay within a tenth."""
-    rows = table(spark, sf_dir, "events").select(durations.jitter(F.lit(10.0), 7).alias("delay"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("delay").between(9.0, 11.0)).alias("within"))
+    """Delays of 10 s, within a tenth, by the event's id."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(durations.jitter(F.lit(10.0), key=F.col("event_id")), 6).alias("delay"))
 
 
-INTERVALS = [("30s", 30.0), ("5m", 300.0), ("1h", 3600.0), ("24h", 86400.0), ("1d", 86400.0), ("7d", 604800.0), ("1d12h", 129600.0), ("2d6h30m", 196200.0), ("1h30m", 5400.0), ("500ms", 0.5), ("1.5h", 5400.0), ("x", None), ("", None), ("5", None), ("d", None)]
-_INTERVAL_SQL, _ = d.cases("interval_text, seconds", INTERVALS)
+INTERVALS = ["30s", "5m", "1h", "24h", "1d", "7d", "1d12h", "2d6h30m", "1h30m", "500ms", "1.5h", "x", "", "5", "d", "1h1d", "3.s", "1d1.25h2m3s4ms"]
+_INTERVAL_SQL = f"""(SELECT unnest({_list(INTERVALS)}) AS t UNION ALL
+  SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 9)::VARCHAR || 'd' ELSE '' END || (o_custkey % 30)::VARCHAR || CASE o_orderkey % 5 WHEN 0 THEN 'h' WHEN 1 THEN 'm' WHEN 2 THEN 's' WHEN 3 THEN 'ms' ELSE '' END FROM orders)"""
 
 
-@register("x29_parse_interval", f"SELECT interval_text, seconds::DOUBLE AS seconds FROM {_INTERVAL_SQL}")
+@register("x29_parse_interval", f"""
+SELECT t AS interval_text, CASE WHEN t <> '' AND regexp_matches(t, '^([0-9]+d)?([0-9]+([.][0-9]*)?(ms|s|m|h))*$') THEN
+  coalesce(try_cast(regexp_extract(t, '^([0-9]+)d', 1) AS DOUBLE), 0) * 86400 + coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace(t, '^[0-9]+d', ''), '[0-9.]+[a-z]+'),
+    lambda x: regexp_extract(x, '^[0-9.]+')::DOUBLE * CASE regexp_extract(x, '[a-z]+$') WHEN 'h' THEN 3600 WHEN 'm' THEN 60 WHEN 's' THEN 1 ELSE 0 END + CASE WHEN x LIKE '%ms' THEN regexp_extract(x, '^[0-9.]+')::DOUBLE / 1000 ELSE 0 END)), 0) END AS seconds
+FROM {_INTERVAL_SQL}""")
 def parse_interval(spark, sf_dir):
-    return _frame(spark, "interval_text string", [(t,) for t, _ in INTERVALS]).select("interval_text", durations.parse(F.col("interval_text")).alias("seconds"))
+    unit = F.element_at(F.array(*map(F.lit, ("h", "m", "s", "ms", ""))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    made = table(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.concat((F.col("o_orderkey") % 9).cast("string"), F.lit("d"))).otherwise(""), (F.col("o_custkey") % 30).cast("string"), unit).alias("interval_text")).distinct()
+    rows = _frame(spark, "interval_text string", [(t,) for t in INTERVALS]).unionAll(made)
+    return rows.select("interval_text", durations.parse(F.col("interval_text")).alias("seconds"))
 
 
-_S = "(l_extendedprice * 10)::BIGINT"
 _S = "floor(l_extendedprice * 10)::BIGINT"
 
 

@@ -19,11 +19,10 @@ def content_region(spark, sf_dir):
     return rows.select("page_id", "f.title", "f.region_hash", "f.error_type", F.size("f.anchors").cast("long").alias("anchors"), F.size("f.pictures").cast("long").alias("pictures"))
 
 
-@register("x14_tree_title", f"SELECT page_id, {d.s_title('html')} AS title FROM pages WHERE NOT contains(regexp_extract(html, '<title>(.*?)</title>', 1), '&')")
+@register("x14_tree_title", f"SELECT page_id, {d.s_unescape(d.s_title('html'))} AS title FROM pages")
 def tree_title(spark, sf_dir):
     facts = pagetree.facts_udf("body")
-    plain = d.pages(spark, sf_dir).filter(~F.regexp_extract("html", "<title>(.*?)</title>", 1).contains("&"))
-    return plain.select("page_id", facts("html", F.lit(None).cast("string"))["title"].alias("title"))
+    return d.pages(spark, sf_dir).select("page_id", facts("html", F.lit(None).cast("string"))["title"].alias("title"))
 
 
 @register("x17_x18_framework")
@@ -47,24 +46,27 @@ def to_markdown(spark, sf_dir):
     return rows.select("page_id", "content", text.content_hash(c).alias("content_hash"), text.headings(c).alias("headings"), text.links(c).alias("links"))
 
 
-@register("x20_heading_of_article", "SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading FROM pages WHERE NOT regexp_matches(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '[&_*`\\[\\]\\\\]')")
+_H1 = d.s_unescape("regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '[ \\t\\r\\n]+', ' ', 'g')")
+
+
+@register("x20_heading_of_article", f"SELECT page_id, trim(regexp_replace({_H1}, '([\\\\`*_\\[\\]])', '\\\\\\1', 'g')) AS heading FROM pages")
 def heading_of_article(spark, sf_dir):
+    """The first heading of the article's Markdown, with what Markdown would take for markup escaped."""
     facts, convert = pagetree.facts_udf("article"), pagetree.markdown_udf("x", "/", "out")
-    plain = d.pages(spark, sf_dir).filter(~F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).rlike(r"[&_*`\[\]\\]"))
-    rows = plain.select("page_id", convert(facts("html", F.lit(None).cast("string"))["content_html"], F.col("url")).alias("content"))
+    rows = d.pages(spark, sf_dir).select("page_id", convert(facts("html", F.lit(None).cast("string"))["content_html"], F.col("url")).alias("content"))
     return rows.select("page_id", F.element_at(text.headings(F.col("content")), 1).alias("heading"))
 
 
-@register("s04_crawl_site")
+_ONE_SITE = f"{d.s_normalize("'https://all.example.com/' || " + d.s_host('url') + " || " + d.s_path('url'))}"
+
+
+@register("s04_crawl_site", f"SELECT url, arg_min({d.s_unescape(d.s_title('html'))}, raw) AS title, 0::BIGINT AS depth FROM (SELECT {_ONE_SITE} AS url, 'https://all.example.com/' || {d.s_host('url')} || {d.s_path('url')} AS raw, html FROM pages) GROUP BY url")
 def crawl_site(spark, sf_dir):
-    """A whole crawl of one host over the stored pages: records without their time stamps."""
+    """A whole crawl of all stored pages, brought together below one host: its records."""
     from lathe import crawl
     from lathe.sources import config
 
-    p = d.pages(spark, sf_dir)
-    host = p.groupBy(urls.hostname(F.col("url")).alias("h")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "h").first()["h"]
-    # start pages of one host, all of them
-    start = [r["url"] for r in p.filter(urls.hostname(F.col("url")) == host).select("url").collect()]
-    site = config.Site(start_urls=start, allowed_domain=host, content_selector="article, body")
-    done = crawl.crawl(spark, "site", site, config.App(), crawl.offline_fetch(p))
-    return done.records.select("url", "title", "content_hash", "depth")
+    p = d.pages(spark, sf_dir).withColumn("url", F.concat(F.lit("https://all.example.com/"), urls.hostname(F.col("url")), urls.path(F.col("url"))))
+    site = config.Site(start_urls=["https://all.example.com/"], allowed_domain="all.example.com", content_selector="article, body")
+    done = crawl.crawl(spark, "site", site, config.App(), crawl.offline_fetch(p), start=p.select("url"))
+    return done.records.select(urls.normalize(F.col("url")).alias("url"), "title", "depth")
