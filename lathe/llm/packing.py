@@ -42,15 +42,21 @@ CAPACITY = 2048
 VOCABULARY = f"{tokens.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 
 
+def _counted(batch: pa.RecordBatch, vocabulary: str) -> np.ndarray:
+    return np.diff(tokens.encode_column(tokens.byte_bpe(vocabulary), batch.column("text"))[1])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every row."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.diff(tokens.encode_column(tokens.byte_bpe(vocabulary), batch.column("text"))[1])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_counted(batch, vocabulary), pa.int64())], ["doc_id", "n_tokens"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(textops.map_slices(count), "doc_id long, n_tokens long")
+    return _texts(docs).mapInArrow(textops.map_slices(count), "doc_id long, n_tokens long")
 
 
 class Plan:
@@ -257,39 +263,60 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
 RANKED = "doc_id long, task int, full long, full_before long, rest long, rank long"
 
 
+def _ranks(pairs, capacity: int):
+    """``RANKED`` batches of a task's (doc_ids, token counts) as they come."""
+    task = TaskContext.get().partitionId()
+    seen, whole = np.zeros(capacity, np.int64), 0
+    for doc_ids, n in pairs:
+        some = n > 0
+        if not some.all():
+            doc_ids, n = doc_ids.filter(pa.array(some)), n[some]
+        full, rest = n // capacity, n % capacity
+        order = np.argsort(rest, kind="stable")
+        r = rest[order]
+        runs = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))[: len(r)]
+        rank = np.empty(len(n), np.int64)
+        rank[order] = np.arange(len(r)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(r)]]))) + seen[r]
+        seen += np.bincount(rest, minlength=capacity)
+        before = whole + np.cumsum(full) - full
+        whole += int(full.sum())
+        columns = [pa.array(np.full(len(n), task), pa.int32()), *(pa.array(x, pa.int64()) for x in (full, before, rest, rank))]
+        yield pa.RecordBatch.from_arrays([doc_ids, *columns], ["doc_id", "task", "full", "full_before", "rest", "rank"])
+    textops.release()
+
+
 def ranked(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Of every (doc_id, n_tokens): its full sequences, those before it in its task, its rest and the rest's rank among
     the equal ones of its task."""
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        seen, whole = np.zeros(capacity, np.int64), 0
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            full, rest = n // capacity, n % capacity
-            order = np.argsort(rest, kind="stable")
-            r = rest[order]
-            runs = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))[: len(r)]
-            rank = np.empty(len(n), np.int64)
-            rank[order] = np.arange(len(r)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(r)]]))) + seen[r]
-            seen += np.bincount(rest, minlength=capacity)
-            before = whole + np.cumsum(full) - full
-            whole += int(full.sum())
-            columns = [pa.array(np.full(len(n), task), pa.int32()), *(pa.array(x, pa.int64()) for x in (full, before, rest, rank))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "task", "full", "full_before", "rest", "rank"])
-        textops.release()
+        return _ranks(((b.column("doc_id"), b.column("n_tokens").to_numpy()) for b in batches), capacity)
 
     return lengths.filter("n_tokens > 0").select("doc_id", "n_tokens").mapInArrow(run, RANKED)
 
 
+def ranked_texts(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``ranked(token_counts(docs))`` in one pass: a task keeps one Python worker busy instead of two."""
+
+    def run(batches):
+        return _ranks(((b.column("doc_id"), _counted(b, vocabulary)) for b in textops.slices(batches)), capacity)
+
+    return _texts(docs).mapInArrow(run, RANKED)
+
+
 def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack (doc_id, n_tokens) rows; see the module for the result's rules.
 
     Result: doc_id, chunk, chunk_from (first token), n_tokens, bin_id, bin_offset, rule.
     A full chunk of a long document has a bin of its own (rule 'alone').
     """
-    spark = lengths.sparkSession
-    known = materialise(ranked(lengths, capacity), "lengths")
+    return pack_ranked(ranked(lengths, capacity), capacity)
+
+
+def pack_ranked(ranks: DataFrame, capacity: int) -> DataFrame:
+    """Pack what ``ranked`` or ``ranked_texts`` gives."""
+    spark = ranks.sparkSession
+    known = materialise(ranks, "lengths")
     # by (task, length), length 0 standing for the full chunks: at most capacity rows a task
     counts = known.filter("rest > 0").groupBy("task", F.col("rest").alias("length")).agg(F.count("*").alias("n"))
     counts = materialise(counts.unionByName(known.groupBy("task").agg(F.lit(0).cast("long").alias("length"), F.sum("full").alias("n"))), "counts")
@@ -333,4 +360,4 @@ def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Place every document's tokens in sequences of ``capacity`` tokens."""
-    return pack_lengths(token_counts(docs, vocabulary), capacity)
+    return pack_ranked(ranked_texts(docs, capacity, vocabulary), capacity)
