@@ -120,6 +120,7 @@ def neighbours(fps: DataFrame, radius: int = RADIUS, blocks: int = 9) -> DataFra
     chosen = list(combinations(range(blocks), blocks - radius))
     masks = F.array(*[F.lit(signed(sum(parts[i] for i in c))) for c in chosen])
     # rows are (fingerprint, table): the key is computed on either side of the shuffle and not sent
+    # Spark takes their size for about that of ``fps``, not for as many times as there are tables: no side may be broadcast
     keyed = fps.select("fp", F.explode(F.array(*[F.lit(t).cast("short") for t in range(len(chosen))])).alias("_t"))
     a, b = (keyed.select(F.col("fp").alias(f"fp_{n}"), F.col("_t").alias(f"_t{n}")) for n in "ab")
     key = lambda n: F.col(f"fp_{n}").bitwiseAND(masks[F.col(f"_t{n}").cast("int")])
@@ -129,7 +130,7 @@ def neighbours(fps: DataFrame, radius: int = RADIUS, blocks: int = 9) -> DataFra
     below = F.array(*[F.lit((2 << c[-1]) - 1).cast("long") for c in chosen])[F.col("_ta").cast("int")]
     own = F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in chosen])[F.col("_ta").cast("int")]
     return (
-        a.join(b, (F.col("_ta") == F.col("_tb")) & (key("a") == key("b")) & (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(differs) <= radius))
+        a.join(b.hint("merge"), (F.col("_ta") == F.col("_tb")) & (key("a") == key("b")) & (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(differs) <= radius))
         .filter(agree.bitwiseAND(below) == own)
         .select("fp_a", "fp_b", F.bit_count(differs).alias("distance"))
     )

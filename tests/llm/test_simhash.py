@@ -52,6 +52,14 @@ def test_search_is_exact(spark, radius, blocks):
     assert got == want
 
 
+def test_search_sends_no_table_to_the_driver(spark):
+    """The tables of the search are many times the fingerprints, which Spark's estimate for a broadcast does not see."""
+    found = simhash.neighbours(spark.range(500).selectExpr("xxhash64(id) AS fp"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_follow_the_number_of_fingerprints():
     found = [simhash.blocks_for(n) for n in (0, 1, 1_000, 235_000, 10**7, 10**9, 10**10)]
     assert found == sorted(found) and found[0] == 7 and found[3] == 9
