@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes every
 stage's table as Parquet in the shared folder and reads it again as the next
 stage's documents.  All stages but the last return the columns of documents.
 
-The models of the first two stages are fitted on bounded samples of labelled
-rows (``toxicity.SAMPLE``, ``langid.SAMPLE``) of the stage's own input.  Without
+The models of the first two stages are fitted on the stage's own input: on all
+labelled rows (toxicity) and on a bounded sample (``langid.SAMPLE``).  Without
 any labelled row a stage rejects nothing but what its operator says it does
 then; null and empty texts pass the first stage, are rejected as ``und`` by the
 second, and an empty table gives an empty result of the last stage's columns.

@@ -8,19 +8,25 @@ its states, and a logistic unit scores the window.  Windows overlap by half
 and cover the whole text; a document's score is that of its worst window, and
 it is toxic when that reaches the threshold.
 
-Training data are a bounded sample of labelled documents (at most ``SAMPLE`` of
-either label, those with the least hash of doc_id), with all their windows.  A
-batch has as many windows of toxic as of clean documents; toxic documents count
+All labelled documents take part.  ``HELD`` of them, by the hash of doc_id, are
+kept for the threshold; the others teach.  Words enter the vocabulary by exact
+counts over all that teach.  Teaching starts on the documents with the least
+hashes (``train``, at most ``SAMPLE`` of either label); from these weights every
+shard of about ``SHARD`` documents goes on by itself, each of its documents
+teaching at least once, and the weights of the shards are averaged by their
+documents.  The threshold is set by the scores of all held-out documents,
+counted in cells of ``GRAIN``.
+
+In the start, a batch has as many windows of toxic as of clean documents; toxic documents count
 alike however long they are, clean ones by their windows, any of which may raise
 a false alarm.  Labels hold for documents and not for windows, so every
 ``REFRESH`` steps all windows are scored, and from then on a toxic document teaches
 by the highest third of its windows and a clean one by the harder half.  The
-number of steps is the same for every sample.  The threshold is set on held-out
-documents of the sample.
+number of steps is the same for every start.
 
 Defined results: a null or blank text has score 0 and is not toxic; a text
 shorter than a window is one window; equal rows get equal results; with fewer
-than two labelled documents of either kind nothing is toxic; empty tables give
+than two labelled documents of either kind that have words nothing is toxic; empty tables give
 empty results; labels of rows that are missing, null or contradictory (both
 values for one doc_id) are not used; of several texts of a labelled doc_id the
 least one teaches; other columns are ignored by ``score``
@@ -33,15 +39,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm import langid, textops
+from lathe.llm import bloom, langid, textops
+from lathe.storage import discard, materialise
 
 WINDOW = 32
 STRIDE = 16
-#: Labelled documents, toxic and clean, that the network is fitted on (bounds, not shares).
+#: Labelled documents, toxic and clean, that teaching starts on (bounds, not shares).
 SAMPLE = (500, 1500)
+#: Labelled documents of ten that are held out.
+HELD = 2
+#: Documents of a shard, the step size there, and the parts in which weights are averaged.
+SHARD = 4096
+SHARD_RATE = 0.002
+BLOCKS = 64
+#: Width of the cells in which logits of held-out documents are counted.
+GRAIN = 0.001
 #: Gradient steps, windows in each, and steps between two scorings of all windows.
 STEPS = 400
 BATCH = 128
@@ -236,10 +252,44 @@ def scores_of(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return worst, where, np.bincount(text, minlength=n)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = STEPS) -> Model | None:
-    """Fit on labelled texts; None if either label has fewer than two."""
+def rank(w: dict[str, np.ndarray], index: np.ndarray, buckets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The windows text by text, the highest score first."""
+    x = np.concatenate([w["word"][index], char_means(w["char"], buckets, bounds)], axis=1)
+    gates = gates_of_words(w, x)
+    z = np.concatenate([forward(w, gates, *window_ids(ids, offsets, text[a : a + SIDE_BY_SIDE], first[a : a + SIDE_BY_SIDE], WINDOW)) for a in range(0, len(text), SIDE_BY_SIDE)])
+    return np.lexsort((-z, text))
+
+
+def teach(w: dict[str, np.ndarray], moments: dict, own: np.ndarray, mask: np.ndarray, y: np.ndarray, index: np.ndarray, buckets: np.ndarray, bounds: np.ndarray, rng: np.random.Generator, step: int, rate: float = 0.01) -> None:
+    """One gradient step on the windows ``own`` with labels ``y``."""
+    used, local = np.unique(own, return_inverse=True)
+    local = local.reshape(own.shape)
+    vid = np.where(rng.random(len(used)) < 0.3, 0, index[used])  # word dropout: the letters must tell as well
+    n = np.diff(bounds)[used]
+    rows = np.concatenate([buckets[bounds[u] : bounds[u + 1]] for u in used])
+    starts = np.concatenate([[0], np.cumsum(n)])
+    x = np.concatenate([w["word"][vid], char_means(w["char"], rows, starts)], axis=1)
+    gates = gates_of_words(w, x)
+    logits, saved = forward(w, gates, local, mask, keep=True)
+    d = (sigmoid(logits) - y) / BATCH
+    g, d_gates = backward(w, gates, saved, d.astype(np.float32))
+    g["in"] = np.matmul(x.T[None], d_gates)
+    g["in_b"] = d_gates.sum(axis=1, keepdims=True)
+    d_x = np.matmul(d_gates, w["in"].transpose(0, 2, 1)).sum(axis=0)
+    g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
+    add_rows(g["word"], vid, d_x[:, :WORD_SIZE])
+    add_rows(g["char"], rows, np.repeat(d_x[:, WORD_SIZE:] / np.maximum(n, 1)[:, None], n, axis=0))
+    adam(w, g, moments, step, rate)
+
+
+def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = STEPS, vocabulary: dict[str, int] | None = None) -> Model | None:
+    """Fit on labelled texts; None if either label has fewer than two.
+
+    With a vocabulary, all texts teach, one of either label is enough, and no threshold is set.
+    """
     y_all = np.asarray(toxic)
-    if min((y_all == 1).sum(), (y_all == 0).sum()) < 2:
+    whole = vocabulary is not None
+    if min((y_all == 1).sum(), (y_all == 0).sum()) < 2 - whole:
         return None
     rng = np.random.default_rng(seed)
     ids, offsets, uniq = textops.words(pa.array(texts, pa.string()))
@@ -248,14 +298,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = STEPS)
     held = rng.random(len(texts)) < 0.3
     for label in (0, 1):  # either label on both sides
         own = np.flatnonzero(y_all == label)
-        held[own[0]], held[own[1]] = False, True
+        held[own[0]], held[own[-1 if whole else 1]] = False, True
+    held &= not whole
     core_names = {c: i for i, c in enumerate(dict.fromkeys(cores))}
     core_of = np.array([core_names[c] for c in cores], dtype=np.int64)
     fit_words = ~held[owner]
     pairs = np.unique(owner[fit_words] * len(core_names) + core_of[ids[fit_words]])
     spread = np.bincount(pairs % len(core_names), minlength=len(core_names))
     least = COMMON * (~held).sum()
-    vocabulary = {c: k + 1 for k, c in enumerate(c for c, i in core_names.items() if c and spread[i] >= least)}
+    if not whole:
+        vocabulary = {c: k + 1 for k, c in enumerate(c for c, i in core_names.items() if c and spread[i] >= least)}
     index = word_index(uniq, vocabulary)
     buckets, bounds = char_rows(uniq)
     w = initial(len(vocabulary) + 1, seed)
@@ -271,34 +323,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = STEPS)
     y = np.repeat(np.array([0, 1], np.float32), BATCH // 2)
     for step in range(steps):
         if step and step % REFRESH == 0:
-            x = np.concatenate([w["word"][index], char_means(w["char"], buckets, bounds)], axis=1)
-            gates = gates_of_words(w, x)
-            z = np.concatenate([forward(w, gates, *window_ids(ids, offsets, text[a : a + SIDE_BY_SIDE], first[a : a + SIDE_BY_SIDE], WINDOW)) for a in range(0, len(text), SIDE_BY_SIDE)])
-            ranked = np.lexsort((-z, text))
+            ranked = rank(w, index, buckets, bounds, ids, offsets, text, first)
             teaches = np.maximum(1, count // np.where(y_all == 1, 3, 2))
         share = np.cumsum(teaches[sides[0]])
         clean = sides[0][np.searchsorted(share, rng.integers(0, share[-1], BATCH // 2), side="right")]
         chosen = np.concatenate([clean, rng.choice(sides[1], BATCH // 2)])
         some = ranked[begins[chosen] + (rng.random(BATCH) * teaches[chosen]).astype(np.int64)]
         own, mask = window_ids(ids, offsets, text[some], first[some], WINDOW)
-        used, local = np.unique(own, return_inverse=True)
-        local = local.reshape(own.shape)
-        vid = np.where(rng.random(len(used)) < 0.3, 0, index[used])  # word dropout: the letters must tell as well
-        n = np.diff(bounds)[used]
-        rows = np.concatenate([buckets[bounds[u] : bounds[u + 1]] for u in used])
-        starts = np.concatenate([[0], np.cumsum(n)])
-        x = np.concatenate([w["word"][vid], char_means(w["char"], rows, starts)], axis=1)
-        gates = gates_of_words(w, x)
-        logits, saved = forward(w, gates, local, mask, keep=True)
-        d = (sigmoid(logits) - y) / BATCH
-        g, d_gates = backward(w, gates, saved, d.astype(np.float32))
-        g["in"] = np.matmul(x.T[None], d_gates)
-        g["in_b"] = d_gates.sum(axis=1, keepdims=True)
-        d_x = np.matmul(d_gates, w["in"].transpose(0, 2, 1)).sum(axis=0)
-        g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-        add_rows(g["word"], vid, d_x[:, :WORD_SIZE])
-        add_rows(g["char"], rows, np.repeat(d_x[:, WORD_SIZE:] / np.maximum(n, 1)[:, None], n, axis=0))
-        adam(w, g, moments, step + 1)
+        teach(w, moments, own, mask, y, index, buckets, bounds, rng, step + 1)
+    if whole:
+        return model
     logits = scores_of(pa.array(texts, pa.string()), model)[0]
     model.threshold = choose_threshold(logits[held & (y_all == 0)], logits[held & (y_all == 1)], logits[~held & (y_all == 0)])
     return model
@@ -322,24 +356,152 @@ def choose_threshold(clean: np.ndarray, toxic: np.ndarray, clean_fitted: np.ndar
     return float(max((best + below) / 2, 0.0))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that are used."""
+    return labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_most")).filter("toxic = _most").select("doc_id", "toxic")
+
+
 def sample(docs: DataFrame, labels: DataFrame, bounds: tuple[int, int] = SAMPLE) -> tuple[list[str], list[int]]:
     """At most ``bounds`` labelled documents, toxic and clean, those with the least hash of doc_id."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).filter("toxic = _most").select("doc_id", "toxic")
-    place = F.xxhash64("doc_id")
-    picked: dict[int, int] = {}
-    for label, bound in ((1, bounds[0]), (0, bounds[1])):
-        rows = known.filter(F.col("toxic") == label).orderBy(place, "doc_id").limit(bound).collect()
-        picked |= {r["doc_id"]: label for r in rows}
-    if not picked:
-        return [], []
-    ids = docs.sparkSession.createDataFrame([(d,) for d in picked], "doc_id long")
+    return first_of(labelled(docs, known_labels(labels)), bounds)
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of all labelled documents; only rows that may be labelled are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    found = sorted(tuple(r) for r in texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text")).collect())
-    return [t for _, t in found], [picked[d] for d, _ in found]
+    return texts.filter(bloom.may_hold(bloom.build(known.select("doc_id")), F.col("doc_id"))).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def first_of(rows: DataFrame, bounds: tuple[int, int]) -> tuple[list[str], list[int]]:
+    """At most ``bounds`` rows of ``labelled``, toxic and clean, those with the least hash of doc_id."""
+    found = []
+    for label, bound in ((1, bounds[0]), (0, bounds[1])):
+        ids = rows.filter(F.col("toxic") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        found += [tuple(r) for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "toxic", "text").collect()]
+    found.sort()
+    return [t for _, _, t in found], [y for _, y, _ in found]
+
+
+def count_words(rows: DataFrame, total: int) -> dict[str, int]:
+    """The vocabulary: words that the share ``COMMON`` of all ``total`` rows has, numbered from 1."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, offsets, uniq = textops.words(batch.column("text"))
+        names: dict[str, int] = {}
+        core_of = np.array([names.setdefault(u.strip(TRIM), len(names)) for u in uniq], dtype=np.int64)
+        pairs = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(offsets)) * max(1, len(names)) + core_of[ids])
+        counts = np.bincount(pairs % max(1, len(names)), minlength=len(names))
+        return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
+    counts = rows.select("text").mapInArrow(textops.map_slices(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    common = counts.filter((F.col("word") != "") & (F.col("n") >= COMMON * total)).select("word").collect()
+    return {w: k + 1 for k, w in enumerate(sorted(r["word"] for r in common))}
+
+
+def go_on(texts: pa.Array, y: np.ndarray, model: Model, moments: dict, rng: np.random.Generator, step: int) -> int:
+    """Teach ``model`` by every text that has words, at least once each; the number of steps so far."""
+    w = model.weights
+    ids, offsets, uniq = textops.words(texts)
+    text, first = window_starts(np.diff(offsets), WINDOW, STRIDE)
+    if not len(text):
+        return step
+    index = word_index(uniq, model.vocabulary)
+    buckets, bounds = char_rows(uniq)
+    ranked = rank(w, index, buckets, bounds, ids, offsets, text, first)
+    count = np.bincount(text, minlength=len(texts))
+    begins = np.cumsum(count) - count
+    teaches = np.maximum(1, count // np.where(y == 1, 3, 2))
+    half = BATCH // 2
+    sides = [rng.permutation(side) for label in (0, 1) if len(side := np.flatnonzero((y == label) & (count > 0)))]
+    for k in range(max(-(-len(side) // half) for side in sides)):
+        chosen = np.concatenate([side[(k * half + np.arange(half)) % len(side)] for side in sides])
+        some = ranked[begins[chosen] + (rng.random(len(chosen)) * teaches[chosen]).astype(np.int64)]
+        own, mask = window_ids(ids, offsets, text[some], first[some], WINDOW)
+        step += 1
+        teach(w, moments, own, mask, y[chosen].astype(np.float32), index, buckets, bounds, rng, step, SHARD_RATE)
+    return step
+
+
+def teach_shards(rows: DataFrame, total: int, model: Model) -> Model:
+    """The mean of the models that the shards of ``rows`` make of ``model``, weighed by their documents."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    table = "block int, shard int, n long, part binary"
+
+    def run(batches):
+        start = shared.value
+        own = Model(start.vocabulary, {k: v.copy() for k, v in start.weights.items()}, np.inf)
+        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in own.weights.items()}
+        shard, n, step = TaskContext.get().partitionId(), 0, 0
+        rng = np.random.default_rng(shard)
+        for batch in textops.slices(batches):
+            step = go_on(batch.column("text"), batch.column("toxic").to_numpy(), own, moments, rng, step)
+            n += batch.num_rows
+        if n:
+            parts = np.array_split(np.concatenate([v.ravel() for v in own.weights.values()]), BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "shard", "n", "part"])
+        textops.release()
+
+    def mean(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("shard")
+        n = parts.column("n").to_numpy()
+        whole = sum(k * np.frombuffer(p, np.float32).astype(np.float64) for k, p in zip(n.tolist(), parts.column("part").to_pylist())) / n.sum()
+        return pa.table({"block": pa.array([parts.column("block")[0].as_py()], pa.int32()), "part": pa.array([whole.astype(np.float32).tobytes()], pa.binary())})
+
+    place = F.xxhash64("doc_id")
+    shards = rows.select("doc_id", "toxic", "text").repartition(-(-total // SHARD), "doc_id").sortWithinPartitions(place, "doc_id")
+    found = shards.mapInArrow(run, table).groupBy("block").applyInArrow(mean, "block int, part binary").collect()
+    flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(found, key=lambda r: r["block"])])
+    ends = np.cumsum([v.size for v in model.weights.values()])
+    weights = {k: p.reshape(v.shape) for (k, v), p in zip(model.weights.items(), np.split(flat, ends[:-1]))}
+    return Model(model.vocabulary, weights, np.inf)
+
+
+def count_logits(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How many of all rows, clean and toxic, have their worst window in each cell of ``GRAIN``: (cells, counts by label)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        logit = scores_of(batch.column("text"), shared.value)[0].astype(np.float64)
+        cell = np.rint(np.clip(logit, -30, 30) / GRAIN).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(cell), batch.column("toxic")], ["cell", "toxic"])
+
+    found = rows.select("text", "toxic").mapInArrow(textops.map_slices(run), "cell int, toxic int").groupBy("cell", "toxic").count().collect()
+    cells = np.unique([r["cell"] for r in found])
+    counts = np.zeros((len(cells), 2), np.int64)
+    for r in found:
+        counts[np.searchsorted(cells, r["cell"]), r["toxic"]] = r["count"]
+    return cells, counts
+
+
+def threshold_of(cells: np.ndarray, counts: np.ndarray) -> float:
+    """``choose_threshold`` for counted logits."""
+    before = np.cumsum(counts, axis=0) - counts
+    total = counts.sum(axis=0)
+    best = int(np.argmin(3 * (total[0] - before[:, 0]) / total[0] + before[:, 1] / total[1]))
+    below = max([*(cells[:best][counts[:best, 0] > 0] * GRAIN), -30.0])
+    return float(max((cells[best] * GRAIN + below) / 2, 0.0))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, bounds: tuple[int, int] = SAMPLE) -> Model | None:
-    return train(*sample(docs, labels, bounds))
+    known = materialise(known_labels(labels), "labels")
+    rows = materialise(labelled(docs, known).filter(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")), "labelled")
+    try:
+        ends = [[r["doc_id"] for r in rows.filter(F.col("toxic") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2).collect()] for label in (0, 1)]
+        if min(map(len, ends)) < 2:
+            return None
+        # either label on both sides
+        held = F.when(F.col("doc_id").isin([e[0] for e in ends]), False).when(F.col("doc_id").isin([e[1] for e in ends]), True).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(10)) < HELD)
+        fit = rows.filter(~held)
+        total = fit.count()
+        model = train(*first_of(fit, bounds), vocabulary=count_words(fit, total))
+        if model is None:
+            return None
+        model = teach_shards(fit, total, model)
+        model.threshold = threshold_of(*count_logits(rows.filter(held), model))
+        return model
+    finally:
+        discard(rows)
+        discard(known)
 
 
 def _columns(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -113,3 +113,42 @@ def test_real_labels(spark):
     y = np.array([r["toxic"] for r in rows]) == 1
     found = np.array([r["found"] for r in rows])
     assert (found & y).sum() >= 0.9 * y.sum() and (found & ~y).sum() <= 0.03 * (~y).sum()
+
+
+def test_all_labelled_documents_teach(spark, monkeypatch):
+    """Words, weights and threshold follow documents that are not among those that teaching starts on."""
+    texts, y = corpus(4, 400)
+    fixed = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(zip(texts, y))], "doc_id long, text string, toxic int")
+    order = [r["doc_id"] for r in fixed.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()]
+    late = set(order[200:])
+    docs = spark.createDataFrame([(i, t + " lateword" * (i in late), l) for i, (t, l) in enumerate(zip(texts, y))], "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    m = toxicity.fitted(docs, docs, (10, 30))
+    assert "lateword" in m.vocabulary
+    other = spark.createDataFrame([(i, t + " lateword" * (i in late) + " w1 gruff snarl" * (i == order[-1]), l) for i, (t, l) in enumerate(zip(texts, y))], "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "threshold_of", lambda cells, counts: seen.append(counts.sum()) or 0.0)
+    taught = []
+    shards = toxicity.teach_shards
+    monkeypatch.setattr(toxicity, "teach_shards", lambda rows, total, model: taught.append(total) or shards(rows, total, model))
+    toxicity.fitted(other, other, (10, 30))
+    assert seen[0] + taught[0] == 400 and 40 < seen[0] < 130
+
+
+def test_threshold_of_counts_is_that_of_the_logits():
+    rng = np.random.default_rng(2)
+    clean, toxic = np.round(rng.normal(-2, 1.5, 500), 3), np.round(rng.normal(3, 1.5, 80), 3)
+    cells = np.unique(np.rint(np.concatenate([clean, toxic]) / toxicity.GRAIN).astype(int))
+    counts = np.stack([[(np.rint(side / toxicity.GRAIN) == c).sum() for c in cells] for side in (clean, toxic)], axis=1)
+    assert abs(toxicity.threshold_of(cells, counts) - toxicity.choose_threshold(clean, toxic, clean)) < 1e-6
+
+
+def test_a_shard_teaches_by_every_text(model, monkeypatch):
+    texts, y = corpus(6, 150)
+    seen = set()
+    monkeypatch.setattr(toxicity, "teach", lambda w, moments, own, *rest: seen.update(own.ravel().tolist()))
+    marked = [f"only{i}" for i in range(150)]
+    ids = toxicity.textops.words(pa.array(marked))[0]
+    toxicity.go_on(pa.array(marked), np.array(y), model, {}, np.random.default_rng(0), 0)
+    assert seen == set(ids.tolist())
