@@ -61,6 +61,6 @@ def pages(locs: DataFrame, domain: str, prefix: str = "/", disallowed: list[str]
 
 
 def tally(locs: DataFrame, state: DataFrame, domain: str, prefix: str = "/") -> DataFrame:
-    """How many locations are new and how many are not."""
-    known = pages(locs, domain, prefix).join(state.select("url", F.lit(True).alias("_known")), "url", "left")
+    """How many locations are new and how many are not; each counts once, however many state rows it has."""
+    known = pages(locs, domain, prefix).join(state.select("url").distinct().withColumn("_known", F.lit(True)), "url", "left")
     return known.agg(F.count_if(F.col("_known").isNull()).alias("queued"), F.count_if(F.col("_known").isNotNull()).alias("known"))
