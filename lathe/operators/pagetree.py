@@ -228,17 +228,18 @@ def markdown_udf(domain: str, prefix: str, root: str):
     return to_markdown
 
 
-def detect(pages: DataFrame) -> DataFrame:
-    """(host, framework, selector): decided by each host's first page in the order of (depth, url).
+def detect(pages: DataFrame, *ties: str) -> DataFrame:
+    """(host, framework, selector): decided by each host's first page in the order of (depth, url, ``ties``).
 
-    The representative is chosen by an aggregation over (depth, url) only; one
-    page per host is parsed.
+    ``ties`` are columns that order pages of equal URLs.  A page without HTML
+    decides only where no other does.  The representative is chosen by an
+    aggregation over these keys only; one page per host is parsed.
     """
     host = urls.hostname(F.col("url"))
     depth = F.col("depth") if "depth" in pages.columns else F.lit(0)
-    keyed = pages.select(host.alias("host"), "url", depth.alias("depth"), "html")
-    first = keyed.groupBy("host").agg(F.min(F.struct("depth", "url")).alias("_first")).select("host", "_first.depth", "_first.url")
-    chosen = keyed.join(first, ["host", "depth", "url"]).groupBy("host").agg(F.max("html").alias("html"))
+    keyed = pages.select(host.alias("host"), F.struct(F.col("html").isNull().alias("bare"), depth.alias("depth"), "url", *ties).alias("_place"), "html")
+    first = keyed.groupBy("host").agg(F.min("_place").alias("_place"))
+    chosen = keyed.join(first, ["host", "_place"]).groupBy("host").agg(F.max("html").alias("html"))
     named = F.create_map(*[F.lit(x) for name, *_, s in FRAMEWORKS for x in (name, s)])
     found = chosen.select("host", framework("html").alias("framework"))
     return found.select("host", "framework", F.coalesce(named[F.col("framework")], F.lit("")).alias("selector"), F.col("framework").isNull().alias("fallback"))

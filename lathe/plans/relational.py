@@ -257,12 +257,12 @@ WITH marked AS (SELECT url, replace(html, '<body>', '<body>' || [{', '.join("'"
 first AS (SELECT {d.s_host('url')} AS host, arg_min(html, url) AS html FROM marked GROUP BY 1)
 SELECT p.url, {_framework_sql('f.html')} AS framework FROM pages p JOIN first f ON f.host = {d.s_host('p.url')}""")
 def detection_lookup(spark, sf_dir):
-    """Framework of every page's host, decided by the host's first page; the pages bear one of ``MARKS`` each."""
+    """Framework of every page's host, decided by the host's first page, of equal URLs by the least id; the pages bear one of ``MARKS`` each."""
     from lathe.operators import pagetree
 
     mark = F.array(*map(F.lit, MARKS))[(F.col("page_id") % len(MARKS)).cast("int")]
     p = d.pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), mark)))
-    found = pagetree.detect(p)
+    found = pagetree.detect(p, "page_id")
     return p.select("url", urls.hostname(U()).alias("host")).join(found, "host").select("url", F.coalesce("framework", F.lit("fallback")).alias("framework"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lathe.operators import pagetree
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,14 @@ def both(spark, folder, name):
 def test_sitemap_counters(spark, repeated):
     got, want = both(spark, repeated, "a08_sitemap_counters")
     assert got == want
+
+
+def test_detection_by_the_first_of_equal_urls(spark, repeated):
+    got, want = both(spark, repeated, "j07_detection_lookup")
+    assert got == want
+
+
+def test_detection_by_a_page_that_has_html(spark):
+    rows = [("http://h/a", None, 1), ("http://h/b", "<div class=rst-content>", 3), ("http://h/b", "<div class=md-main>", 2), ("http://g/", None, 4)]
+    found = pagetree.detect(spark.createDataFrame(rows, "url string, html string, page_id long"), "page_id")
+    assert {r["host"]: r["framework"] for r in found.collect()} == {"h": "mkdocs", "g": None}
