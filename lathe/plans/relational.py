@@ -483,11 +483,12 @@ def frontier_sources(spark, sf_dir):
 
 @register("u03_tree_sets", "SELECT 'common' AS side, url AS path FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0 UNION ALL SELECT 'missing', url FROM pages WHERE page_id % 2 = 0 AND page_id % 3 <> 0")
 def tree_sets(spark, sf_dir):
+    """Two trees of pages compared; an entry is a page, so that pages of equal URLs stay apart."""
     from lathe.operators import trees
 
     p = d.pages(spark, sf_dir)
-    left, right = (p.filter(f"page_id % {k} = 0").select(U().alias("path")) for k in (2, 3))
-    return trees.common_paths(left, right).select(F.lit("common").alias("side"), "path").union(trees.missing_paths(left, right).select(F.lit("missing"), "path"))
+    left, right = (p.filter(f"page_id % {k} = 0").select(U().alias("path"), "page_id") for k in (2, 3))
+    return trees.common_paths(left, right, "page_id").select(F.lit("common").alias("side"), "path").union(trees.missing_paths(left, right, "page_id").select(F.lit("missing"), "path"))
 
 
 @register("u04_distinct_sitemaps", f"SELECT DISTINCT {d.s_scheme('url')} || '://' || {d.s_authority('url')} || '/sitemap.xml' AS url FROM pages")

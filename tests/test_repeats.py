@@ -49,3 +49,8 @@ def test_detection_by_a_page_that_has_html(spark):
     rows = [("http://h/a", None, 1), ("http://h/b", "<div class=rst-content>", 3), ("http://h/b", "<div class=md-main>", 2), ("http://g/", None, 4)]
     found = pagetree.detect(spark.createDataFrame(rows, "url string, html string, page_id long"), "page_id")
     assert {r["host"]: r["framework"] for r in found.collect()} == {"h": "mkdocs", "g": None}
+
+
+def test_tree_sets(spark, repeated):
+    got, want = both(spark, repeated, "u03_tree_sets")
+    assert got == want
