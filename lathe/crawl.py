@@ -20,9 +20,10 @@ from lathe.storage import materialise
 Fetch = Callable[[DataFrame], DataFrame]
 
 
-def offline_fetch(pages: DataFrame) -> Fetch:
-    """Serve pages (url, html) of a stored corpus by their normalized URLs; the least URL of equals wins."""
-    known = pages.groupBy(urls.normalize(F.col("url")).alias("_n")).agg(F.min_by("html", "url").alias("html"), F.min("url").alias("final_url"))
+def offline_fetch(pages: DataFrame, *ties: str) -> Fetch:
+    """Serve pages (url, html) of a stored corpus by their normalized URLs; of equals, what has HTML, then the least (url, ``ties``) wins."""
+    place = F.struct(F.col("html").isNull().alias("bare"), "url", *ties)
+    known = pages.groupBy(urls.normalize(F.col("url")).alias("_n")).agg(F.min_by("html", place).alias("html"), F.min(place)["url"].alias("final_url"))
 
     def fetch(level: DataFrame) -> DataFrame:
         joined = level.join(known, level["url"] == known["_n"], "left")

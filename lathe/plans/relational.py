@@ -409,7 +409,9 @@ def as_of(spark, sf_dir):
 
 @register("w06_first_page", f"SELECT {d.s_host('url')} AS host, min(url) AS url, arg_min(page_id, url) AS page_id FROM pages GROUP BY 1")
 def first_page(spark, sf_dir):
-    return d.pages(spark, sf_dir).groupBy(urls.hostname(U()).alias("host")).agg(F.min("url").alias("url"), F.min_by("page_id", "url").alias("page_id"))
+    """Least URL of every host and its page, the least id of equals."""
+    first = F.min(F.when(U().isNotNull() & F.col("page_id").isNotNull(), F.struct("url", "page_id")))
+    return d.pages(spark, sf_dir).groupBy(urls.hostname(U()).alias("host")).agg(F.min("url").alias("url"), first["page_id"].alias("page_id"))
 
 
 @register("w07_request_slots", """

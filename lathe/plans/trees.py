@@ -62,11 +62,11 @@ _ONE_SITE = f"{d.s_normalize("'https://all.example.com/' || " + d.s_host('url')
 
 @register("s04_crawl_site", f"SELECT url, arg_min({d.s_unescape(d.s_title('html'))}, raw) AS title, 0::BIGINT AS depth FROM (SELECT {_ONE_SITE} AS url, 'https://all.example.com/' || {d.s_host('url')} || {d.s_path('url')} AS raw, html FROM pages) GROUP BY url")
 def crawl_site(spark, sf_dir):
-    """A whole crawl of all stored pages, brought together below one host: its records."""
+    """A whole crawl of all stored pages, brought together below one host: its records; of equal URLs the least id is served."""
     from lathe import crawl
     from lathe.sources import config
 
     p = d.pages(spark, sf_dir).withColumn("url", F.concat(F.lit("https://all.example.com/"), urls.hostname(F.col("url")), urls.path(F.col("url"))))
     site = config.Site(start_urls=["https://all.example.com/"], allowed_domain="all.example.com", content_selector="article, body")
-    done = crawl.crawl(spark, "site", site, config.App(), crawl.offline_fetch(p), start=p.select("url"))
+    done = crawl.crawl(spark, "site", site, config.App(), crawl.offline_fetch(p, "page_id"), start=p.select("url"))
     return done.records.select(urls.normalize(F.col("url")).alias("url"), "title", "depth")

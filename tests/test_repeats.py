@@ -54,3 +54,9 @@ def test_detection_by_a_page_that_has_html(spark):
 def test_tree_sets(spark, repeated):
     got, want = both(spark, repeated, "u03_tree_sets")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["w06_first_page", "s04_crawl_site"])
+def test_first_of_equal_urls(spark, repeated, name):
+    got, want = both(spark, repeated, name)
+    assert got == want
