@@ -1,20 +1,23 @@
 """What is read off a page's tree: content region, title, anchors, pictures, framework, Markdown.
 
 Each page is parsed once, inside one Arrow-fed function that returns a struct.
-The rules themselves are plain functions over the tree.
+What comes in is read row by row from Arrow's memory and what goes out leaves in
+pieces, so a worker holds a piece of results besides its input, whatever the
+number of rows in a batch.  The rules themselves are plain functions over the tree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lathe.functions import urls
 from lathe.operators import dom, markdown
@@ -28,6 +31,8 @@ FRAMEWORKS = [
     ("sphinx", [], ["sphinxsidebar", "sphinx-tabs"], ["searchindex.js", "_static/sphinx"], ["created using sphinx", "sphinx-doc.org", "_static/alabaster", "_static/pygments"], "div.body, article.bd-article, main.bd-main, div.document"),
     ("gitbook", [], ["gitbook*", "markdown-section"], [], ["gitbook", "gb-page"], "section.normal.markdown-section, .page-inner section, main[class*='gitbook']"),
 ]
+#: Characters of pages, and rows, after which a piece of results leaves the worker.
+PIECE, PIECE_ROWS = 1 << 20, 512
 AUTO = ("auto", "AUTO", "Auto")
 FALLBACK = "readability"
 
@@ -182,48 +187,76 @@ FACTS = T.StructType(
 )
 
 
+def in_pieces(batches: Iterator[tuple[pa.Array, ...]], kind: pa.DataType, of: Callable) -> Iterator[pa.Array]:
+    """``of`` of every row of ``batches``, as arrays of at most ``PIECE_ROWS`` rows or some ``PIECE`` characters of the first column."""
+    for columns in batches:
+        rows, held = [], 0
+        for scalars in zip(*columns):
+            values = [x.as_py() for x in scalars]
+            rows.append(of(*values))
+            held += len(values[0] or "")
+            if held >= PIECE or len(rows) >= PIECE_ROWS:
+                yield pa.array(rows, kind)
+                rows, held = [], 0
+        if rows:
+            yield pa.array(rows, kind)
+
+
+def facts_of(text: str | None, name: str | None, selector: str, link_selectors: list[str]) -> dict:
+    """FACTS of one page."""
+    if text is None:
+        return dict(zip(FACTS.names, (None, None, None, [], [], "Content_ParsingHTML")))
+    tree = dom.parse(text)
+    region, failure = content_of(tree, selector, name)
+    outer = region.outer() if region is not None else None
+    found = (
+        title_of(tree), outer, hashlib.sha256(outer.encode("utf-8", "surrogatepass")).hexdigest() if outer is not None else None,
+        [{"href": h, "rel": r} for h, r in anchors_of(tree, link_selectors)], [{"src": s, "caption": c} for s, c in pictures_of(region)] if region is not None else [], failure,
+    )
+    dom.release(tree)
+    return dict(zip(FACTS.names, found))
+
+
 def facts_udf(selector: str, link_selectors: list[str] | None = None):
     """Arrow-fed function (html, framework) -> FACTS; one parse per page."""
 
-    @F.pandas_udf(FACTS)
-    def facts(page: pd.Series, framework: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, name in zip(page, framework):
-            if text is None:
-                rows.append((None, None, None, [], [], "Content_ParsingHTML"))
-                continue
-            tree = dom.parse(text)
-            region, failure = content_of(tree, selector, name)
-            outer = region.outer() if region is not None else None
-            rows.append((
-                title_of(tree), outer, hashlib.sha256(outer.encode("utf-8", "surrogatepass")).hexdigest() if outer is not None else None,
-                [{"href": h, "rel": r} for h, r in anchors_of(tree, link_selectors or [])], [{"src": s, "caption": c} for s, c in pictures_of(region)] if region is not None else [], failure,
-            ))
-        return pd.DataFrame(rows, columns=FACTS.names)
+    @F.arrow_udf(FACTS)
+    def facts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return in_pieces(batches, to_arrow_type(FACTS), lambda text, name: facts_of(text, name, selector, link_selectors or []))
 
     return facts
 
 
-@F.pandas_udf(T.StringType())
-def framework(page: pd.Series) -> pd.Series:
-    return page.map(lambda t: framework_of(dom.parse(t)) if t is not None else None)
+def _framework_of_text(text: str | None) -> str | None:
+    if text is None:
+        return None
+    tree = dom.parse(text)
+    name = framework_of(tree)
+    dom.release(tree)
+    return name
+
+
+@F.arrow_udf(T.StringType())
+def framework(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return in_pieces(((page,) for page in pages), pa.string(), _framework_of_text)
 
 
 def markdown_udf(domain: str, prefix: str, root: str):
     """Arrow-fed function (content_html, url) -> Markdown with local links and without framework noise."""
 
-    @F.pandas_udf(T.StringType())
-    def to_markdown(content: pd.Series, url: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(content, url):
-            if text is None:
-                out.append(None)
-                continue
-            tree = dom.parse_fragment(text)
-            rewrite_links(tree, own, domain, prefix, root)
-            clean(tree)
-            out.append(markdown.convert(tree))
-        return pd.Series(out, dtype=object)
+    def one(text: str | None, own: str) -> str | None:
+        if text is None:
+            return None
+        tree = dom.parse_fragment(text)
+        rewrite_links(tree, own, domain, prefix, root)
+        clean(tree)
+        content = markdown.convert(tree)
+        dom.release(tree)
+        return content
+
+    @F.arrow_udf(T.StringType())
+    def to_markdown(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return in_pieces(batches, pa.string(), one)
 
     return to_markdown
 
