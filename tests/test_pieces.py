@@ -33,3 +33,10 @@ def test_no_tree_waits_for_the_collector():
         assert sum(isinstance(x, dom.Node) for x in gc.get_objects()) == before
     finally:
         gc.enable()
+
+
+def test_functions_of_a_crawl_take_batches_apart():
+    from pyspark.util import PythonEvalType
+
+    for f in (pagetree.facts_udf("body"), pagetree.markdown_udf("h", "/", "out"), pagetree.framework):
+        assert f.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
